@@ -72,7 +72,7 @@ def test_dense_nodes_are_divided(spark, monkeypatch):
     rng = np.random.default_rng(4)
     monkeypatch.setattr(proximity, "NODE_TARGETS", 4)
     s, t = layer(spark, clustered(rng, 120)), layer(spark, clustered(rng, 400))
-    closed = proximity._reachable(proximity._sources(s, "id"), Targets(t), {"c": 3.0}, "exact")
+    closed = proximity._reachable(proximity.Sources(s, "id").rows, Targets(t), {"c": 3.0}, "exact")
     assert len(closed) > 1
     d = brute(spark, s, t)
     assert (count_within(s, t, {"c": 3.0}, "id").orderBy("id").toPandas().c == (d < 3).sum(axis=1)).all()

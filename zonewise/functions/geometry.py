@@ -9,12 +9,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .projection import project, project_vertices, unproject_vertices
 
 VERTEX_DDL = "struct<x:double,y:double>"
 PARTS_DDL = f"array<array<array<{VERTEX_DDL}>>>"
 GEOMETRY_DDL = f"struct<type:string,parts:{PARTS_DDL}>"
+_VERTEX = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
+GEOMETRY_TYPE = T.StructType(
+    [
+        T.StructField("type", T.StringType()),
+        T.StructField("parts", T.ArrayType(T.ArrayType(T.ArrayType(_VERTEX)))),
+    ]
+)
 
 
 def let(value: Column, fn) -> Column:

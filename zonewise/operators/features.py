@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import settings
 from ..functions import geometry as G
 from ..functions.crs import assert_wgs84, with_crs
-from .proximity import Targets, as_targets, count_within, nearest_distance
+from .proximity import Sources, Targets, as_targets, count_table, nearest_table
 from .stats import by_zone
-from .workset import settle
 
 SPATIAL = [
     "dist_to_nearest_transit_m",
@@ -26,19 +27,26 @@ def zone_spatial(
 ) -> DataFrame:
     """Distances to the nearest stop and park and counts around the centroid of each zone.
 
-    ``key`` must be unique. Stops are searched once for both radii. Options go to ``count_within``.
+    ``key`` must be unique. Stops are searched once for both radii. The four searches do not depend on one another and
+    run as concurrent jobs. Options go to ``count_table``.
     """
     assert_wgs84(zones, "zones")
-    stops, parks = as_targets(stops), as_targets(parks)
     lon, lat = G.centroid(F.col("geometry"))
-    centres = settle(zones.select(F.col(key), lon.alias("lon"), lat.alias("lat")))
-    centres = with_crs(centres, settings.STORAGE_CRS)
-    out = nearest_distance(centres, stops, SPATIAL[0], key)
-    out = nearest_distance(out, parks, SPATIAL[1], key)
-    radii = {SPATIAL[2]: settings.TRANSIT_RADIUS_M, SPATIAL[3]: settings.WIDE_TRANSIT_RADIUS_M}
-    out = count_within(out, stops, radii, key, **count_options)
-    out = count_within(out, parks, {SPATIAL[4]: settings.PARK_RADIUS_M}, key, **count_options)
-    return zones.join(out.select(key, *SPATIAL), key, "left")
+    centres = with_crs(zones.select(F.col(key), lon.alias("lon"), lat.alias("lat")), settings.STORAGE_CRS)
+    wide = {SPATIAL[2]: settings.TRANSIT_RADIUS_M, SPATIAL[3]: settings.WIDE_TRANSIT_RADIUS_M}
+    with ThreadPoolExecutor(4) as pool:
+        sides = [pool.submit(Sources, centres, key), pool.submit(as_targets, stops), pool.submit(as_targets, parks)]
+        source, stop_side, park_side = (s.result() for s in sides)
+        found = [
+            pool.submit(nearest_table, source, stop_side, SPATIAL[0]),
+            pool.submit(nearest_table, source, park_side, SPATIAL[1]),
+            pool.submit(count_table, source, stop_side, wide, **count_options),
+            pool.submit(count_table, source, park_side, {SPATIAL[4]: settings.PARK_RADIUS_M}, **count_options),
+        ]
+        tables = [f.result() for f in found]
+    for table in tables:
+        zones = zones.join(table, key, "left")
+    return zones
 
 
 def attach_stats(zones: DataFrame, transactions: DataFrame, by: str = "neighborhood") -> DataFrame:

@@ -106,10 +106,16 @@ class _Grid:
         return _Grid(self.x0, self.y0, self.size / _FAN)
 
 
-def _sources(layer: DataFrame, key: str) -> DataFrame:
-    assert_wgs84(layer, "sources")
-    x, y = project(F.col("lon"), F.col("lat"))
-    return settle(_placed(layer).select(F.col(key).alias("skey"), x.alias("sx"), y.alias("sy")))
+class Sources:
+    """The source side, projected to metres; usable for several searches."""
+
+    def __init__(self, layer: DataFrame, key: str):
+        assert_wgs84(layer, "sources")
+        self.layer, self.key = layer, key
+        x, y = project(F.col("lon"), F.col("lat"))
+        self.rows = settle(_placed(layer).select(F.col(key).alias("skey"), x.alias("sx"), y.alias("sy")))
+        b = self.rows.agg(F.count(F.lit(1)), F.min("sx"), F.min("sy"), F.max("sx"), F.max("sy")).first()
+        self.n, self.bounds = b[0], b[1:]
 
 
 def _source_nodes(sources: DataFrame, grid: _Grid) -> DataFrame:
@@ -197,10 +203,10 @@ def _meet_rows(sources: DataFrame, targets: Targets, closed: list[_Closed], extr
     )
 
 
-def _nearest_points(sources: DataFrame, targets: Targets) -> DataFrame:
+def _nearest_points(side: Sources, targets: Targets) -> DataFrame:
     """(skey, d2): squared distance to the closest target."""
-    b = sources.agg(F.min("sx"), F.min("sy"), F.max("sx"), F.max("sy")).first()
-    if b[0] is None:
+    sources, b = side.rows, side.bounds
+    if side.n == 0 or targets.n == 0:
         return sources.select("skey", F.lit(None).cast("double").alias("d2"))
     x0, y0 = min(b[0], targets.bounds[0]), min(b[1], targets.bounds[1])
     side = max(b[2] - x0, targets.bounds[2] - x0, b[3] - y0, targets.bounds[3] - y0, 1.0)
@@ -235,25 +241,31 @@ def as_targets(layer: DataFrame | Targets) -> Targets:
     return layer if isinstance(layer, Targets) else Targets(layer)
 
 
-def nearest_distance(sources: DataFrame, targets: DataFrame | Targets, result: str, key: str) -> DataFrame:
-    """Add the metres to the closest target, to a tenth; NULL when there is no target.
+def as_sources(layer: DataFrame | Sources, key: str) -> Sources:
+    return layer if isinstance(layer, Sources) else Sources(layer, key)
 
-    ``sources`` are points with a unique ``key``; targets are points or polygons (0 from inside a polygon).
-    """
-    t = as_targets(targets)
-    if t.n == 0:
-        return sources.withColumn(result, F.lit(None).cast("double"))
-    found = _nearest_points(_sources(sources, key), t)
+
+def nearest_table(sources: Sources, targets: Targets, result: str) -> DataFrame:
+    """(key, result) of ``nearest_distance`` without the other columns of the sources."""
+    found = _nearest_points(sources, targets)
     distance = F.sqrt("d2")
-    if t.shapes:
+    if targets.shapes and targets.n:
         inside = match_points(
-            sources.select(F.col(key).alias("skey"), "lon", "lat"),
-            t.layer.select(F.lit(True).alias("_in"), "geometry"),
+            sources.layer.select(F.col(sources.key).alias("skey"), "lon", "lat"),
+            targets.layer.select(F.lit(True).alias("_in"), "geometry"),
             ["_in"], "inner", True, "skey", None,
         ).select("skey", "_in").distinct()
         found = found.join(inside, "skey", "left")
         distance = F.when(F.col("_in"), F.lit(0.0)).otherwise(distance)
-    found = found.select(F.col("skey").alias(key), half_even(distance, 1).alias(result))
+    return found.select(F.col("skey").alias(sources.key), half_even(distance, 1).alias(result))
+
+
+def nearest_distance(sources: DataFrame, targets: DataFrame | Targets, result: str, key: str) -> DataFrame:
+    """Add the metres to the closest target, to a tenth; NULL when there is no target.
+
+    ``sources`` are points with a unique ``key``; targets are points or polygons (0 from inside a polygon).
+    """
+    found = nearest_table(as_sources(sources, key), as_targets(targets), result)
     return sources.join(found, key, "left")
 
 
@@ -270,33 +282,40 @@ def count_within(
     All radii share one search. ``circle="polygon64"`` counts inside the inscribed 64-gon instead of the circle, and
     ``empty_as_one`` reports 1 where nothing is in reach, for results equal to a left join that counts unmatched rows.
     """
+    found = count_table(as_sources(sources, key), as_targets(targets), radii, circle, empty_as_one)
+    out = sources.join(found, key, "left")
+    return out.withColumns({n: F.coalesce(n, F.lit(0)).cast("bigint") for n in radii})
+
+
+def count_table(
+    sources: Sources, targets: Targets, radii: dict[str, float], circle: str = "exact", empty_as_one: bool = False
+) -> DataFrame:
+    """(key, one count per radius) of ``count_within`` without the other columns of the sources."""
     if circle not in ("exact", "polygon64"):
         raise ValueError(f"unknown circle {circle}")
-    t = as_targets(targets)
-    if t.shapes:
+    if targets.shapes:
         raise ValueError("count_within takes point targets")
-    names = list(radii)
-    if t.n == 0:
-        return sources.withColumns({n: F.lit(0).cast("bigint") for n in names})
-    pts = _sources(sources, key)
-    closed = _reachable(pts, t, radii, circle)
-    if not closed:
-        counts = pts.select(F.col("skey"), *[F.lit(0).cast("bigint").alias(n) for n in names])
-    else:
-        met = _meet_rows(pts, t, closed, [f"add_{i}" for i in range(len(names))])
+    names, pts = list(radii), sources.rows
+    floor = F.lit(1 if empty_as_one and targets.n else 0)
+    closed = _reachable(pts, targets, radii, circle) if targets.n else []
+    if closed:
+        met = _meet_rows(pts, targets, closed, [f"add_{i}" for i in range(len(names))])
         counts = met.groupBy("skey").agg(
             *[
                 (
                     F.max(f"add_{i}")
-                    + F.coalesce(F.sum(F.when(_hit(t.distance2(), radii[n], circle), F.col("weight"))), F.lit(0))
+                    + F.coalesce(F.sum(F.when(_hit(targets.distance2(), radii[n], circle), F.col("weight"))), F.lit(0))
                 ).alias(n)
                 for i, n in enumerate(names)
             ]
         )
-    counts = counts.withColumnRenamed("skey", key)
-    floor = 1 if empty_as_one else 0
-    out = sources.join(counts, key, "left")
-    return out.withColumns({n: F.greatest(F.coalesce(n, F.lit(0)), F.lit(floor)).cast("bigint") for n in names})
+        counts = pts.select("skey").join(counts, "skey", "left")
+    else:
+        counts = pts.select("skey", *[F.lit(None).cast("bigint").alias(n) for n in names])
+    return counts.select(
+        F.col("skey").alias(sources.key),
+        *[F.greatest(F.coalesce(n, F.lit(0)), floor).cast("bigint").alias(n) for n in names],
+    )
 
 
 def _hit(d2: Column, radius: float, circle: str) -> Column:

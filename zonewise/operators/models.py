@@ -141,14 +141,15 @@ class Ridge:
             F.count(F.lit(1)).alias("n"), F.stddev_pop(target).alias("sy"),
             *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(names)],
         ).first()
-        scale = {c: row[f"s{i}"] or 1.0 for i, c in enumerate(names)}
+        # a constant column is zero once standardised and only makes the system singular
+        scale = {c: row[f"s{i}"] for i, c in enumerate(names) if row[f"s{i}"]}
         # the solver standardises the label, hence the factor of its deviation
         strength = self.alpha / row["n"] * (row["sy"] or 1.0)
         solver = LinearRegression(
             featuresCol="_x", labelCol=target, predictionCol="_p", solver="normal", standardization=False, regParam=strength
         )
-        assembler = VectorAssembler(inputCols=[f"_z_{c}" for c in names], outputCol="_x")
-        zs = lambda df: df.withColumns({f"_z_{c}": F.col(c) / F.lit(scale[c]) for c in names})
+        assembler = VectorAssembler(inputCols=[f"_z_{c}" for c in scale], outputCol="_x")
+        zs = lambda df: df.withColumns({f"_z_{c}": F.col(c) / F.lit(v) for c, v in scale.items()})
         model = Pipeline(stages=[assembler, solver]).fit(zs(data))
         return lambda df: model.transform(zs(df)), None
 
@@ -197,7 +198,7 @@ def _folds(table: DataFrame, n: int, folds: int | None) -> tuple[DataFrame, int]
     return table.withColumn("_fold", F.pmod(F.xxhash64("name"), F.lit(k)).cast("int")), k
 
 
-def cross_validate(model, table: DataFrame, names: list[str], folds: int | None = None, threads: int = 4) -> DataFrame:
+def cross_validate(model, table: DataFrame, names: list[str], folds: int | None = None, threads: int = 8) -> DataFrame:
     """Out-of-fold predictions: (name, actual, predicted). Folds are fitted from concurrent driver threads."""
     split, k = _folds(table, table.count(), folds)
     split = settle(split)
@@ -229,17 +230,20 @@ def metrics(predictions: DataFrame, model: str) -> DataFrame:
     )
 
 
-def compare_models(zones: DataFrame, folds: int | None = None) -> DataFrame:
+CANDIDATES = {
+    "Baseline (mean)": lambda table, names, folds: loo_baseline(table),
+    "Ridge Regression": lambda table, names, folds: loo_ridge(table, names),
+    "Random Forest": lambda table, names, folds: cross_validate(random_forest(), table, names, folds),
+    "Gradient Boosting": lambda table, names, folds: cross_validate(gradient_boosting(), table, names, folds),
+}
+
+
+def compare_models(zones: DataFrame, folds: int | None = None, candidates=CANDIDATES) -> DataFrame:
     """Error of each model, best first. ``folds`` replaces leave-one-out for the tree models."""
     _labelled(zones)
     table, names = features(zones)
     table = settle(table)
-    rows = [
-        metrics(loo_baseline(table), "Baseline (mean)"),
-        metrics(loo_ridge(table, names), "Ridge Regression"),
-        metrics(cross_validate(random_forest(), table, names, folds), "Random Forest"),
-        metrics(cross_validate(gradient_boosting(), table, names, folds), "Gradient Boosting"),
-    ]
+    rows = [metrics(predict(table, names, folds), name) for name, predict in candidates.items()]
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)

@@ -91,7 +91,7 @@ FOOT_CORNERS = {
 
 def edges(source: str, key: str, n: int, out: str, x: str = "lon", y: str = "lat") -> dict[str, str]:
     return {
-        out: f"""SELECT a.{key}, a.{x} AS ax, a.{y} AS ay, b.{x} AS bx, b.{y} AS by
+        out: f"""SELECT a.{key}, a.{x} AS ax, a.{y} AS ay, b.{x} AS b_x, b.{y} AS b_y
       FROM {source} a JOIN {source} b ON a.{key} = b.{key} AND b.i = (a.i + 1) % {n}"""
     }
 
@@ -101,7 +101,7 @@ def moments(source: str, key: str, n: int, out: str) -> dict[str, str]:
     return {
         f"{out}_o": f"SELECT {key}, x AS ox, y AS oy FROM {source} WHERE i = 0",
         **edges(source, key, n, f"{out}_e", "x", "y"),
-        f"{out}_c": f"""SELECT e.{key}, ox, oy, ax - ox AS px, ay - oy AS py, bx - ox AS qx, by - oy AS qy
+        f"{out}_c": f"""SELECT e.{key}, ox, oy, ax - ox AS px, ay - oy AS py, b_x - ox AS qx, b_y - oy AS qy
       FROM {out}_e e JOIN {out}_o o ON e.{key} = o.{key}""",
         out: f"""SELECT {key}, abs(sum(px * qy - qx * py)) / 2 AS area,
       any_value(ox) + sum((px + qx) * (px * qy - qx * py)) / (3 * sum(px * qy - qx * py)) AS x,
@@ -115,7 +115,7 @@ def inside(points: str, pkey: str, polys: str, key: str, edge: str, out: str) ->
     return {
         f"{out}_near": f"SELECT {pkey}, {key}, lon, lat FROM {points} JOIN {polys} ON lon > x0 AND lon < x1 AND lat > y0 AND lat < y1",
         out: f"""SELECT {pkey}, n.{key} FROM {out}_near n JOIN {edge} e ON n.{key} = e.{key}
-      WHERE (ay > lat) <> (by > lat) AND lon < ax + (lat - ay) / (by - ay) * (bx - ax)
+      WHERE (ay > lat) <> (b_y > lat) AND lon < ax + (lat - ay) / (b_y - ay) * (b_x - ax)
       GROUP BY {pkey}, n.{key} HAVING count(*) % 2 = 1""",
     }
 
@@ -286,7 +286,7 @@ def side(a: str, b: str, c: str) -> str:
     return f"sign(({bx} - {ax}) * ({cy} - {ay}) - ({by} - {ay}) * ({cx} - {ax}))"
 
 
-_A, _B = ("d.ax,d.ay", "d.bx,d.by"), ("z.ax,z.ay", "z.bx,z.by")
+_A, _B = ("d.ax,d.ay", "d.b_x,d.b_y"), ("z.ax,z.ay", "z.b_x,z.b_y")
 PAIRS = {
     **DISTRICT_EDGES,
     "zones": T.ZONES,
@@ -324,8 +324,8 @@ SQL["nearest_polygon"] = statement(
         **inside("stops_raw", "stop_id", "zones", "name", "zone_edges", "hit"),
         **projected("zone_corners", "zone_m"),
         **edges("zone_m", "name", 5, "zone_me", "x", "y"),
-        "along": """SELECT stop_id, x, y, ax, ay, bx - ax AS dx, by - ay AS dy,
-          greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / ((bx - ax) * (bx - ax) + (by - ay) * (by - ay)))) AS t
+        "along": """SELECT stop_id, x, y, ax, ay, b_x - ax AS dx, b_y - ay AS dy,
+          greatest(0, least(1, ((x - ax) * (b_x - ax) + (y - ay) * (b_y - ay)) / ((b_x - ax) * (b_x - ax) + (b_y - ay) * (b_y - ay)))) AS t
           FROM stops_all_m, zone_me""",
         "closest": """SELECT stop_id, min(sqrt((x - ax - t * dx) * (x - ax - t * dx) + (y - ay - t * dy) * (y - ay - t * dy))) AS d
           FROM along GROUP BY stop_id""",
@@ -586,14 +586,14 @@ _PLACES = ", ".join(f"('{l}', '{n}', {lon}E0, {lat}E0)" for l, n, lon, lat in PL
 DEALS = {
     "deals": T.DEALS,
     "places": f"SELECT * FROM (VALUES {_PLACES}) AS t(local_name, place, clon, clat)",
-    "typed": """SELECT *, TRY_CAST(DEALAMOUNT AS DOUBLE) AS price, TRY_CAST(AREA AS DOUBLE) AS area,
+    "typed": """SELECT *, TRY_CAST(DEALAMOUNT AS DOUBLE) AS price, TRY_CAST(AREA AS DOUBLE) AS deal_area,
       TRY_CAST(ASSETROOMNUM AS DOUBLE) AS room_count FROM deals LEFT JOIN places ON CITYNAME = local_name""",
-    "good": "SELECT * FROM typed WHERE price > 100000 AND area > 10",
+    "good": "SELECT * FROM typed WHERE price > 100000 AND deal_area > 10",
 }
 SQL["normalise_deals"] = statement(
     DEALS,
     f"""SELECT coalesce(FULLADRESS, '') AS address, place AS neighborhood, CAST(trunc(price) AS BIGINT) AS transaction_price,
-    coalesce(room_count, 0.0E0) AS rooms, {half_even('area', 1)} AS area_m2, {half_even('price / area')} AS price_per_m2,
+    coalesce(room_count, 0.0E0) AS rooms, {half_even('deal_area', 1)} AS area_m2, {half_even('price / deal_area')} AS price_per_m2,
     coalesce(clon, {DEFAULT_CENTRE[0]}E0) AS lon, coalesce(clat, {DEFAULT_CENTRE[1]}E0) AS lat FROM good""",
 )
 SQL["geocode_jitter"] = statement(

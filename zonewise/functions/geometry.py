@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .projection import project, project_vertices, unproject_vertices
+from .projection import project_vertices, unproject_vertices
 
 VERTEX_DDL = "struct<x:double,y:double>"
 PARTS_DDL = f"array<array<array<{VERTEX_DDL}>>>"
@@ -154,10 +154,9 @@ def metric_centroid(geom: Column) -> Column:
     return let(to_metric(geom), planar_centroid)
 
 
-def centroid(geom: Column) -> tuple[Column, Column]:
-    """Centroid computed in metres, handed back in degrees."""
-    lonlat = unproject_vertices(F.array(metric_centroid(geom)))[0]
-    return lonlat["x"], lonlat["y"]
+def centroid(geom: Column) -> Column:
+    """Centroid computed in metres, handed back in degrees as ``struct<x,y>``."""
+    return unproject_vertices(F.array(metric_centroid(geom)))[0]
 
 
 def _side(ax, ay, bx, by, cx, cy) -> Column:
@@ -208,28 +207,28 @@ def segment_distance2(x, y, x1, y1, x2, y2) -> Column:
     return ex * ex + ey * ey
 
 
+def _straddle(a: Column, b: Column) -> tuple[Column, Column]:
+    """For each segment the product of the sides on which the ends of the other lie."""
+    da = _side(a["x1"], a["y1"], a["x2"], a["y2"], b["x1"], b["y1"]) * _side(a["x1"], a["y1"], a["x2"], a["y2"], b["x2"], b["y2"])
+    db = _side(b["x1"], b["y1"], b["x2"], b["y2"], a["x1"], a["y1"]) * _side(b["x1"], b["y1"], b["x2"], b["y2"], a["x2"], a["y2"])
+    return da, db
+
+
 def _meet(a: Column, b: Column) -> Column:
-    """Do two segments share a point?"""
-    d1 = _side(a["x1"], a["y1"], a["x2"], a["y2"], b["x1"], b["y1"])
-    d2 = _side(a["x1"], a["y1"], a["x2"], a["y2"], b["x2"], b["y2"])
-    d3 = _side(b["x1"], b["y1"], b["x2"], b["y2"], a["x1"], a["y1"])
-    d4 = _side(b["x1"], b["y1"], b["x2"], b["y2"], a["x2"], a["y2"])
-    return (
-        ((d1 * d2 < 0) & (d3 * d4 < 0))
-        | ((d1 == 0) & _within_box(a, b["x1"], b["y1"]))
-        | ((d2 == 0) & _within_box(a, b["x2"], b["y2"]))
-        | ((d3 == 0) & _within_box(b, a["x1"], a["y1"]))
-        | ((d4 == 0) & _within_box(b, a["x2"], a["y2"]))
-    )
+    """Do two segments share a point? Their boxes overlap and neither lies on one side of the other."""
+    da, db = _straddle(a, b)
+    return _overlap(a, b, "x") & _overlap(a, b, "y") & (da <= 0) & (db <= 0)
+
+
+def _overlap(a: Column, b: Column, axis: str) -> Column:
+    p, q = f"{axis}1", f"{axis}2"
+    return (F.least(a[p], a[q]) <= F.greatest(b[p], b[q])) & (F.least(b[p], b[q]) <= F.greatest(a[p], a[q]))
 
 
 def _cross(a: Column, b: Column) -> Column:
     """Do two segments cross in their interiors?"""
-    d1 = _side(a["x1"], a["y1"], a["x2"], a["y2"], b["x1"], b["y1"])
-    d2 = _side(a["x1"], a["y1"], a["x2"], a["y2"], b["x2"], b["y2"])
-    d3 = _side(b["x1"], b["y1"], b["x2"], b["y2"], a["x1"], a["y1"])
-    d4 = _side(b["x1"], b["y1"], b["x2"], b["y2"], a["x2"], a["y2"])
-    return (d1 * d2 < 0) & (d3 * d4 < 0)
+    da, db = _straddle(a, b)
+    return (da < 0) & (db < 0)
 
 
 def _doubles_back(a: Column, b: Column) -> Column:
@@ -263,38 +262,24 @@ def is_valid(geom: Column) -> Column:
 
     Nesting of holes is not examined. Comparison of edge pairs is quadratic in the vertices of one geometry.
     """
-    v = vertices(geom)
-    rings = F.flatten(geom["parts"])
-    segments = F.transform(rings, _ring_edges)
-    finite = F.forall(
-        v,
-        lambda p: p["x"].isNotNull()
-        & p["y"].isNotNull()
-        & ~F.isnan(p["x"])
-        & ~F.isnan(p["y"])
-        & (F.abs(p["x"]) < float("inf"))
-        & (F.abs(p["y"]) < float("inf")),
-    )
-    solid = F.forall(
-        rings,
-        lambda r: (F.size(F.array_distinct(r)) >= 3) & (_moments(r, r[0]["x"], r[0]["y"])["a"] != 0.0),
-    )
-    simple = F.forall(segments, _ring_is_simple)
-    apart = ~F.exists(
-        F.transform(
-            segments,
-            lambda one, i: F.exists(
-                F.slice(segments, i + 2, F.size(segments)),
-                lambda two: F.exists(one, lambda a: F.exists(two, lambda b: _cross(a, b))),
-            ),
-        ),
-        lambda t: t,
-    )
-    present = geom.isNotNull() & (F.size(v) > 0)
-    return F.coalesce(F.when(present, F.when(finite, F.when(solid, simple & apart))), F.lit(False))
 
+    def finite(rings):
+        number = lambda v: v.isNotNull() & (F.abs(v) < float("inf"))  # NaN counts as larger than infinity
+        return F.forall(F.flatten(rings), lambda p: number(p["x"]) & number(p["y"]))
+
+    def solid(rings):
+        return F.forall(
+            rings, lambda r: (F.size(F.array_distinct(r)) >= 3) & (_moments(r, r[0]["x"], r[0]["y"])["a"] != 0.0)
+        )
+
+    def apart(lists):
+        later = lambda one, i: F.exists(
+            F.slice(lists, i + 2, F.size(lists)), lambda two: F.exists(one, lambda a: F.exists(two, lambda b: _cross(a, b)))
+        )
+        return ~F.exists(F.transform(lists, later), lambda t: t)
+
+    def sound(rings):
+        simple = let(F.transform(rings, _ring_edges), lambda lists: F.forall(lists, _ring_is_simple) & apart(lists))
+        return F.when(F.size(F.flatten(rings)) > 0, F.when(finite(rings), F.when(solid(rings), simple)))
 
-def metric_point(lon: Column, lat: Column) -> Column:
-    """``struct<x,y>`` in metres."""
-    x, y = project(lon, lat)
-    return F.struct(x.alias("x"), y.alias("y"))
+    return F.coalesce(F.when(geom.isNotNull(), let(F.flatten(geom["parts"]), sound)), F.lit(False))

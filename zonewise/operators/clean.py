@@ -106,8 +106,9 @@ def parks(df: DataFrame, bbox=settings.BBOX) -> DataFrame:
     crs = crs_of(df)
     df = clip_to_bbox(drop_invalid(standardise_columns(df)), bbox, "parks")
     if "geometry" in df.columns:
-        lon, lat = G.centroid(F.col("geometry"))
-        df = with_crs(df.withColumns({"lon": lon, "lat": lat}).drop("geometry"), crs)
+        # the struct is a column of its own, so that both coordinates come from one evaluation
+        df = df.withColumn("_c", G.centroid(F.col("geometry"))).withColumns({"lon": F.col("_c.x"), "lat": F.col("_c.y")})
+        df = with_crs(df.drop("geometry", "_c"), crs)
     return df
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import settings
 from ..functions import geometry as G
-from ..functions.crs import assert_wgs84, with_crs
+from ..functions.crs import assert_wgs84
 from .proximity import Sources, Targets, as_targets, count_table, nearest_table
 from .stats import by_zone
 
@@ -31,11 +31,11 @@ def zone_spatial(
     run as concurrent jobs. Options go to ``count_table``.
     """
     assert_wgs84(zones, "zones")
-    lon, lat = G.centroid(F.col("geometry"))
-    centres = with_crs(zones.select(F.col(key), lon.alias("lon"), lat.alias("lat")), settings.STORAGE_CRS)
+    centres = zones.filter(F.col("geometry").isNotNull()).select(F.col(key).alias("skey"), G.metric_centroid(F.col("geometry")).alias("c"))
+    centres = centres.select("skey", F.col("c.x").alias("sx"), F.col("c.y").alias("sy"))
     wide = {SPATIAL[2]: settings.TRANSIT_RADIUS_M, SPATIAL[3]: settings.WIDE_TRANSIT_RADIUS_M}
     with ThreadPoolExecutor(4) as pool:
-        sides = [pool.submit(Sources, centres, key), pool.submit(as_targets, stops), pool.submit(as_targets, parks)]
+        sides = [pool.submit(Sources, zones, key, centres), pool.submit(as_targets, stops), pool.submit(as_targets, parks)]
         source, stop_side, park_side = (s.result() for s in sides)
         found = [
             pool.submit(nearest_table, source, stop_side, SPATIAL[0]),

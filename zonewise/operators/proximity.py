@@ -107,13 +107,16 @@ class _Grid:
 
 
 class Sources:
-    """The source side, projected to metres; usable for several searches."""
+    """The source side in metres; usable for several searches."""
 
-    def __init__(self, layer: DataFrame, key: str):
-        assert_wgs84(layer, "sources")
+    def __init__(self, layer: DataFrame, key: str, metric: DataFrame | None = None):
+        """``metric`` hands in (skey, sx, sy) where the positions are known in metres already."""
         self.layer, self.key = layer, key
-        x, y = project(F.col("lon"), F.col("lat"))
-        self.rows = settle(_placed(layer).select(F.col(key).alias("skey"), x.alias("sx"), y.alias("sy")))
+        if metric is None:
+            assert_wgs84(layer, "sources")
+            x, y = project(F.col("lon"), F.col("lat"))
+            metric = _placed(layer).select(F.col(key).alias("skey"), x.alias("sx"), y.alias("sy"))
+        self.rows = settle(metric)
         b = self.rows.agg(F.count(F.lit(1)), F.min("sx"), F.min("sy"), F.max("sx"), F.max("sy")).first()
         self.n, self.bounds = b[0], b[1:]
 

@@ -35,7 +35,7 @@ def test_points_in_polygons_equals_brute_force(spark, way, monkeypatch):
         monkeypatch.setattr(workset, "BROADCAST_ROWS", 0)
         monkeypatch.setattr(workset.salted_join, "__defaults__", (None, None, 20, None))
     if way == "crowded":
-        monkeypatch.setattr(polygons, "CELL_POLYGONS", 2)
+        monkeypatch.setattr(polygons, "CELL_POLYGONS", 4)
     rng = np.random.default_rng(5)
     rings = [star(rng, rng.uniform(34.7, 34.9), rng.uniform(31.9, 32.1), rng.choice([0.002, 0.02, 0.1])) for _ in range(30)]
     # a third of the polygons and of the points sit in one small place
@@ -65,6 +65,16 @@ def test_boundary_overlap_hole_and_no_match(spark):
     assert spatial_join(layers, points, "left", "contains").count() == 3
 
 
+@pytest.mark.parametrize("size,divided", [(0.5, True), (0.0005, False)])
+def test_crowded_cells_are_divided_only_if_it_pays(spark, monkeypatch, size, divided):
+    monkeypatch.setattr(polygons, "CELL_POLYGONS", 4)
+    rng = np.random.default_rng(6)
+    tiny = [star(rng, *rng.uniform((34.7, 31.9), (34.9, 32.1)), 0.002) for _ in range(40)]
+    stacked = [[(34.8, 32.0), (34.81, 32.0), (34.81, 32.01), (34.8, 32.01)]] * 20
+    grid = polygons.PolygonCells(shapes(spark, [geom([r]) for r in (tiny if divided else stacked)]), ["name"], size=size)
+    assert bool(grid.crowded) == divided
+
+
 def test_interior_cells_need_no_edges(spark):
     grid = polygons.PolygonCells(shapes(spark, [geom([[(0, 0), (8, 0), (8, 8), (0, 8)]])]), ["name"], size=1.0)
     rows = grid.cells.select("cx", "cy", "_inside", F.size("_edges").alias("n")).collect()

@@ -13,9 +13,10 @@ from ..functions import geometry as G
 from ..functions.crs import assert_wgs84, require_columns
 from .workset import salted_join, settle
 
-CELL_POLYGONS = 64  # cells with more polygons than this are divided further
+CELL_POLYGONS = 64  # cells crossed by the borders of more polygons than this are divided further
 _SPLIT = 8  # a power of two, so that cell numbers of all levels nest exactly
-_MAX_SPLITS = 4
+_MAX_SPLITS = 3
+_WORTHWHILE = 8  # a division that multiplies the rows by more (stacked polygons) does not pay and is left out
 
 
 def cell_size(polygons: DataFrame) -> float:
@@ -74,6 +75,24 @@ def _cut(rows: DataFrame, carry: list[str], size: float, bounded: bool) -> DataF
     return out.select(*carry, F.col("_x").alias("cx"), F.col("_y").alias("cy"), "_inside", kept.alias("_edges"))
 
 
+def _pays(rows: DataFrame, size: float) -> bool:
+    """Would cells of the finer size hold few rows more than the coarser ones? Judged by the boxes of the borders."""
+
+    def reach(edge, cell):
+        first = F.greatest(_slot(F.array_min(F.transform("_edges", lambda e: F.least(*[e[c] for c in edge]))), size), F.col(cell) * _SPLIT)
+        last = F.least(
+            _slot(F.array_max(F.transform("_edges", lambda e: F.greatest(*[e[c] for c in edge]))), size),
+            F.col(cell) * _SPLIT + (_SPLIT - 1),
+        )
+        return F.greatest(last - first + 1, F.lit(1))
+
+    cells = F.when(F.col("_inside"), F.lit(_SPLIT * _SPLIT)).otherwise(
+        reach(("x1", "x2"), "cx") * reach(("y1", "y2"), "cy")
+    )
+    row = rows.agg(F.count(F.lit(1)).alias("now"), F.sum(cells).alias("then")).first()
+    return row["then"] <= _WORTHWHILE * row["now"]
+
+
 class PolygonCells:
     """Cell table of a polygon layer, with crowded cells divided until few polygons share one."""
 
@@ -86,9 +105,11 @@ class PolygonCells:
             current = settle(_cut(current, carry, step, bounded))
             crowded, n_crowded = None, 0
             if level < _MAX_SPLITS:
-                crowded = current.groupBy("cx", "cy").count().filter(F.col("count") > CELL_POLYGONS).drop("count")
-                crowded = settle(crowded)
+                border = current.groupBy("cx", "cy").agg(F.count_if(~F.col("_inside")).alias("n"))
+                crowded = settle(border.filter(F.col("n") > CELL_POLYGONS).drop("n"))
                 n_crowded = crowded.count()
+                if n_crowded and not _pays(current.join(crowded, ["cx", "cy"], "left_semi"), step / _SPLIT):
+                    n_crowded = 0
             if n_crowded == 0:
                 tables.append(current.withColumn("level", F.lit(level)))
                 break

@@ -11,7 +11,8 @@ from .scoring import SUBSCORES
 
 def score_color(score: Column, top: float = 100.0) -> Column:
     """Red over yellow to green as ``#rrggbb``; scores outside 0..top take the end colours."""
-    ratio = F.least(F.greatest(score / F.lit(top), F.lit(0.0)), F.lit(1.0))
+    share = score / F.lit(top)
+    ratio = F.when(share < 0, 0.0).when(share > 1, 1.0).otherwise(share)  # least and greatest would pass over NULL
     # End colours of the gradient
     to_yellow = F.format_string("#%02x%02x%02x", F.lit(220), (ratio * 2 * 200).cast("int"), F.lit(0))
     to_green = F.format_string(

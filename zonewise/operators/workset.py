@@ -60,6 +60,7 @@ def salted_join(
         on = on if condition is None else on & condition
         renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
         return left.join(F.broadcast(renamed), on, how).drop(*[f"_r_{k}" for k in keys])
+    columns = [*left.columns, *[c for c in right.columns if c not in keys]]
     if hot is None:
         hot = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     hot = hot.filter(F.col("n") > hot_rows).select(*keys, F.ceil(F.col("n") / hot_rows).cast("int").alias("_salts"))
@@ -83,7 +84,8 @@ def salted_join(
     on = _equal(keys)
     on = on if condition is None else on & condition
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    return left.join(renamed, on, how).drop("_salt", *[f"_r_{k}" for k in keys])
+    joined = left.join(renamed, on, how).drop("_salt", *[f"_r_{k}" for k in keys])
+    return joined.select(*columns)
 
 
 def _equal(keys: list[str]) -> Column:

@@ -20,17 +20,19 @@ _WORTHWHILE = 8  # a division that multiplies the rows by more (stacked polygons
 
 
 def cell_size(polygons: DataFrame) -> float:
-    """A quarter of the median extent, but never so small that polygons average more than 64 cells."""
+    """The median extent, divided further the more edges polygons have, but so that they average 64 cells at most."""
     b = G.bbox(F.col("geometry"))
     w, h = b["xmax"] - b["xmin"], b["ymax"] - b["ymin"]
-    row = polygons.select(w.alias("w"), h.alias("h")).agg(
+    row = polygons.select(w.alias("w"), h.alias("h"), F.size(G.vertices(F.col("geometry"))).alias("v")).agg(
         F.percentile_approx(F.greatest("w", "h"), 0.5, 100).alias("mid"),
         F.sum(F.col("w") * F.col("h")).alias("area"),
         F.count("w").alias("n"),
+        F.avg("v").alias("v"),
     ).first()
     if not row["n"]:
         return 1.0
-    return max(row["mid"] / 4, (row["area"] / (64 * row["n"])) ** 0.5) or 1.0
+    parts = min(max(row["v"] ** 0.5 / 2, 1.0), 8.0)
+    return max(row["mid"] / parts, (row["area"] / (64 * row["n"])) ** 0.5) or 1.0
 
 
 def _slot(v: Column, size: float) -> Column:
@@ -106,8 +108,9 @@ class PolygonCells:
             crowded, n_crowded = None, 0
             if level < _MAX_SPLITS:
                 border = current.groupBy("cx", "cy").agg(F.count_if(~F.col("_inside")).alias("n"))
-                crowded = settle(border.filter(F.col("n") > CELL_POLYGONS).drop("n"))
+                crowded = border.filter(F.col("n") > CELL_POLYGONS).drop("n")
                 n_crowded = crowded.count()
+                crowded = settle(crowded) if n_crowded else None
                 if n_crowded and not _pays(current.join(crowded, ["cx", "cy"], "left_semi"), step / _SPLIT):
                     n_crowded = 0
             if n_crowded == 0:

@@ -101,7 +101,10 @@ class PolygonCells:
     def __init__(self, polygons: DataFrame, carry: list[str], size: float | None = None):
         self.size = size or cell_size(polygons)
         self.crowded: list[tuple[DataFrame, int]] = []
-        rows = polygons.select(*carry, G.edges(F.col("geometry")).alias("_edges")).filter(F.size("_edges") > 0)
+        bounds = {f"_{n}": c for n, c in G.bbox(F.col("geometry")).items()}
+        edge_list = G.edges(F.col("geometry")).alias("_edges")
+        rows = polygons.select(*carry, edge_list, *[c.alias(n) for n, c in bounds.items()]).filter(F.size("_edges") > 0)
+        carry = [*carry, *bounds]
         tables, current, bounded, step = [], rows, False, self.size
         for level in range(_MAX_SPLITS + 1):
             current = settle(_cut(current, carry, step, bounded))
@@ -156,15 +159,18 @@ def match_points(
 ) -> DataFrame:
     """Points with the carried columns of every polygon around them."""
     grid = PolygonCells(polygons, carry, size)
-    hit = F.col("_inside") | G.point_in_edges(F.col("_edges"), F.col("lon"), F.col("lat"))
+    lon, lat = F.col("lon"), F.col("lat")
+    exact = G.point_in_edges(F.col("_edges"), lon, lat)
     if closed:
-        hit = hit | G.point_on_edges(F.col("_edges"), F.col("lon"), F.col("lat"))
+        exact = exact | G.point_on_edges(F.col("_edges"), lon, lat)
+    # four plain comparisons spare most rows the walk over the edges
+    hit = F.col("_inside") | (lon.between(F.col("_xmin"), F.col("_xmax")) & lat.between(F.col("_ymin"), F.col("_ymax")) & exact)
     spread = _spread(points, key)
     located = grid.locate(points, "lon", "lat", spread)
     joined = salted_join(
         located, grid.cells, ["level", "cx", "cy"], how, spread, condition=hit, right_rows=grid.rows
     )
-    return joined.drop("level", "cx", "cy", "_inside", "_edges")
+    return joined.drop("level", "cx", "cy", "_inside", "_edges", "_xmin", "_ymin", "_xmax", "_ymax")
 
 
 def points_in_polygons(

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side is broadcast only when its counted rows stay below this.
+# A side is broadcast only when its counted rows stay below this; callers hand in rows of at most a few hundred bytes.
 BROADCAST_ROWS = 500_000
 # A key is hot above this many rows; at most total / HOT_ROWS keys can be.
 HOT_ROWS = 1_000_000
 
 _local_folders: dict[str, tempfile.TemporaryDirectory] = {}
+_roots: dict[str, Scratch] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,12 +31,73 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[app].name
 
 
+class Scratch:
+    """The intermediate tables of one run, in one folder of the shared directory.
+
+    As a context manager it deletes the folder at the end of the block, so a result that is still to be read must have
+    been handed to ``keep``, which puts it under the application's own folder (see ``clear``).
+    """
+
+    def __init__(self, spark: SparkSession, name: str = ""):
+        self.spark = spark
+        self.path = f"{shared_folder(spark)}/{name or f'run-{uuid.uuid4().hex}'}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *failure) -> None:
+        self.close()
+
+    def folder(self, name: str = "") -> str:
+        return f"{self.path}/{name or uuid.uuid4().hex}"
+
+    def settle(self, df: DataFrame) -> DataFrame:
+        """Write a table and read it back: short lineage, real size statistics, safe against executor loss."""
+        path = self.folder()
+        df.write.parquet(path)
+        settled = self.spark.read.schema(df.schema).parquet(path)
+        settled._scratch_path = path
+        return settled
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        return settle(df)
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more."""
+        for t in tables:
+            self._delete(t._scratch_path)
+
+    def close(self) -> None:
+        self._delete(self.path)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back: short lineage, real size statistics, safe against executor loss."""
+    """``Scratch.settle`` into the application's folder, which stays until ``clear`` or the end of the program."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    app = spark.sparkContext.applicationId
+    if app not in _roots:
+        _roots[app] = Scratch(spark, f"zonewise-{app}")
+        atexit.register(_clear_quietly, spark)
+    return _roots[app].settle(df)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every settled table of this application; results that still read one become unreadable."""
+    root = _roots.pop(spark.sparkContext.applicationId, None)
+    if root is not None:
+        root.close()
+
+
+def _clear_quietly(spark: SparkSession) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
+            clear(spark)
+    except Exception:  # the session may have been stopped already
+        pass
 
 
 def salted_join(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.workset import Scratch, settle, shared_folder
-from . import chat, sharding, tokenfiles
+from . import chat, sharding, simhash, tokenfiles
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,6 +26,12 @@ def op2_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digest(settle(chat.examples(turns)))
 
 
+def op5_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        found = scratch.keep(simhash.near_duplicates(table(spark, folder, "documents"), scratch))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -40,5 +46,5 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_formatting, op6_token_files, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_chat_formatting, op5_simhash_near_duplicates, op6_token_files, op10_sharding)}
 SQL: dict[str, str] = {}

@@ -22,8 +22,7 @@ size_of = lambda text: F.coalesce(F.octet_length(text), F.lit(0)).cast("long") +
 
 def keyed(rows: DataFrame, key: str, text: str, slots: int = SLOTS, cells: int = 1) -> DataFrame:
     """Key, size, text_crc32, virtual_slot and numbering cell of every row."""
-    own = F.coalesce(F.xxhash64(F.col(key)), F.lit(0)) if key != "doc_id" else F.xxhash64(F.col(key))
-    own = F.when(F.col(key).isNull(), F.xxhash64(F.col(text), F.lit("no key"))).otherwise(own)
+    own = F.when(F.col(key).isNull(), F.xxhash64(F.col(text), F.lit("no key"))).otherwise(F.xxhash64(F.col(key)))
     return rows.select(
         F.col(key),
         size_of(F.col(text)).alias("size"),
@@ -63,14 +62,14 @@ def first_map(per_slot: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame
 
 
 def add_shard(current: DataFrame) -> DataFrame:
-    """The next version with one more shard: every shard gives whole slots, up to its excess over the new mean."""
+    """The next version with one more shard: every shard gives whole slots, nearest to its excess over the new mean."""
     n = F.max("shard").over(Window.partitionBy("version")) + 1
     in_shard = Window.partitionBy("version", "shard")
-    run = in_shard.orderBy(F.desc("bytes"), "virtual_slot").rowsBetween(Window.unboundedPreceding, 0)
+    run = in_shard.orderBy(F.xxhash64("virtual_slot"), "virtual_slot").rowsBetween(Window.unboundedPreceding, 0)
     load, total = F.sum("bytes").over(in_shard), F.sum("bytes").over(Window.partitionBy("version"))
     return (
         current.withColumns({"_n": n, "_load": load, "_total": total, "_run": F.sum("bytes").over(run)})
-        .withColumn("shard", F.when(F.col("_run") <= F.col("_load") - F.col("_total") / (F.col("_n") + 1), F.col("_n")).otherwise(F.col("shard")))
+        .withColumn("shard", F.when(F.col("_run") - F.col("bytes") / 2 <= F.col("_load") - F.col("_total") / (F.col("_n") + 1), F.col("_n")).otherwise(F.col("shard")))
         .select("virtual_slot", F.col("shard").cast("int"), "bytes", (F.col("version") + 1).alias("version"))
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.workset import Scratch, settle, shared_folder
-from . import chat, sharding, simhash, tokenfiles
+from . import chat, decontaminate, quality, sharding, simhash, suffixes, tokenfiles
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,6 +26,17 @@ def op2_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digest(settle(chat.examples(turns)))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    with Scratch(spark) as scratch:
+        found = scratch.keep(suffixes.repeats(docs, scratch))
+    return suffixes.digest(docs, found)
+
+
 def op5_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     with Scratch(spark) as scratch:
         found = scratch.keep(simhash.near_duplicates(table(spark, folder, "documents"), scratch))
@@ -39,6 +50,12 @@ def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfiles.read(settle(manifest))
 
 
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.train(docs, table(spark, folder, "labels"))).drop("text")
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.shard(table(spark, folder, "documents"), _own_folder(spark, "shards"))
     return placed.select(
@@ -46,5 +63,5 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_formatting, op5_simhash_near_duplicates, op6_token_files, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_chat_formatting, op3_benchmark_decontamination, op4_suffix_dedup, op5_simhash_near_duplicates, op6_token_files, op7_quality_classifier, op10_sharding)}
 SQL: dict[str, str] = {}

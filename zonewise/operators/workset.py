@@ -14,6 +14,8 @@ BROADCAST_ROWS = 500_000
 # A key is hot above this many rows; at most total / HOT_ROWS keys can be.
 HOT_ROWS = 1_000_000
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _local_folders: dict[str, tempfile.TemporaryDirectory] = {}
 _roots: dict[str, Scratch] = {}
 
@@ -51,10 +53,19 @@ class Scratch:
     def folder(self, name: str = "") -> str:
         return f"{self.path}/{name or uuid.uuid4().hex}"
 
-    def settle(self, df: DataFrame) -> DataFrame:
-        """Write a table and read it back: short lineage, real size statistics, safe against executor loss."""
+    def settle(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """Write a table and read it back: short lineage, real size statistics, safe against executor loss.
+
+        ``by`` lays the table out in one folder per value of a column. The shuffle files of the write are removed at its
+        end, since nothing will ask for them again.
+        """
         path = self.folder()
-        df.write.parquet(path)
+        was = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            (df.write.partitionBy(by) if by else df.write).parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, was)
         settled = self.spark.read.schema(df.schema).parquet(path)
         settled._scratch_path = path
         return settled
@@ -67,6 +78,10 @@ class Scratch:
         for t in tables:
             self._delete(t._scratch_path)
 
+    def drop_part(self, table: DataFrame, part: str) -> None:
+        """Delete one value's folder of a table that was settled ``by`` a column."""
+        self._delete(f"{table._scratch_path}/{part}")
+
     def close(self) -> None:
         self._delete(self.path)
 

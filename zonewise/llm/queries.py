@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.workset import Scratch, settle, shared_folder
-from . import chat, decontaminate, quality, sharding, simhash, suffixes, tokenfiles
+from . import chat, decontaminate, quality, sharding, simhash, suffixes, tokenfiles, topk
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -56,6 +56,12 @@ def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = topk.whole(table(spark, folder, "embeddings"))
+    with Scratch(spark) as scratch:
+        return scratch.keep(topk.search(topk.build(vectors, scratch), vectors.filter(F.col("id") % 20 == 0), scratch))
+
+
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.shard(table(spark, folder, "documents"), _own_folder(spark, "shards"))
     return placed.select(
@@ -63,5 +69,18 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_formatting, op3_benchmark_decontamination, op4_suffix_dedup, op5_simhash_near_duplicates, op6_token_files, op7_quality_classifier, op10_sharding)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_chat_formatting, op3_benchmark_decontamination, op4_suffix_dedup, op5_simhash_near_duplicates, op6_token_files, op7_quality_classifier, op8_top_k, op10_sharding)}
+SQL: dict[str, str] = {
+    "op8_top_k": """
+WITH x AS (
+  SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(64 * CAST(c AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND list_aggregate(list_transform(embedding, lambda c: coalesce(isfinite(c), false)), 'bool_and')
+), s AS (
+  SELECT q.vec_id AS query_id, r.vec_id AS vec_id,
+    CAST(list_sum(list_transform(list_zip(q.v, r.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM x AS q JOIN x AS r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
+}

@@ -22,6 +22,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -29,40 +30,69 @@ from pyspark.sql import functions as F
 
 FILE_BYTES = 32 << 20
 SEQUENCE, PER_BATCH = 2048, 64
-# Pieces remembered by a worker, and the longest piece remembered.
-REMEMBERED, LONGEST = 400_000, 48
+# A task encodes about this much text at a time; a worker remembers so many pieces.
+LOT_BYTES, REMEMBERED = 16 << 20, 1_000_000
 MANIFEST = "part int, path string, n_docs long, n_tokens long, n_sequences long"
 
-_WHITE = str.maketrans("\t\n\v\f\r", "     ")
-_tokenizers: dict[str, tuple] = {}
+_WHITE = "\t\n\v\f\r"
+_workers: dict[str, _Worker] = {}
 
 
-def tokenizer(path: str):
-    """The tokenizer of this worker, its memory of pieces, and the type its ids need."""
-    if path not in _tokenizers:
+class _Worker:
+    """The tokenizer of this worker process and the ids of the pieces it has met, one after the other in one array."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        loaded = Tokenizer.from_file(path)
-        _tokenizers[path] = loaded, {"": ()}, "H" if loaded.get_vocab_size() <= 1 << 16 else "I"
-    return _tokenizers[path]
-
-
-def encode(path: str, text: str) -> array:
-    loaded, known, code = tokenizer(path)
-    pieces = text.translate(_WHITE).split(" ") if len(text) < 1 << 20 or " " in text else [text]
-    new = [p for p in set(pieces) if p not in known]
-    if new:
-        if len(known) > REMEMBERED:
-            known.clear()
-            known[""] = ()
-            new = list(set(pieces))
-        long = {}
-        for p, e in zip(new, loaded.encode_batch(new, add_special_tokens=False), strict=True):
-            (known if len(p) <= LONGEST else long)[p] = tuple(e.ids)
-        if long:
-            return array(code, chain.from_iterable(long[p] if p in long else known[p] for p in pieces))
-    return array(code, chain.from_iterable(map(known.__getitem__, pieces)))
+        self.tokenizer = Tokenizer.from_file(path)
+        self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.forget()
+
+    def forget(self) -> None:
+        self.place = {"": 0}
+        self.ids, self.ends = np.zeros(0, self.type), np.zeros(1, np.int64)
+
+    def places(self, pieces: list[str]) -> np.ndarray:
+        if len(self.place) > REMEMBERED:
+            self.forget()
+        new = [w for w in pieces if w not in self.place]
+        if new:
+            first = len(self.place)
+            lots = (self.tokenizer.encode_batch_fast(new[k : k + 20_000], add_special_tokens=False) for k in range(0, len(new), 20_000))
+            ids = [e.ids for lot in lots for e in lot]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.ids = np.r_[self.ids, np.fromiter(chain.from_iterable(ids), self.type, sizes.sum())]
+            self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum(sizes)]
+            self.place.update(zip(new, range(first, first + len(new)), strict=True))
+        return np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
+
+
+def worker(path: str) -> _Worker:
+    if path not in _workers:
+        _workers[path] = _Worker(path)
+    return _workers[path]
+
+
+def _pieces(text: str) -> str:
+    for c in _WHITE:
+        if c in text:
+            text = text.replace(c, " ")
+    return text
+
+
+def encode(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in a row, and where each text's ids end. Every different piece is encoded once."""
+    own = worker(path)
+    split = pc.split_pattern(pa.array(map(_pieces, texts), pa.large_string()), " ")
+    coded = split.flatten().dictionary_encode()
+    place = own.places(coded.dictionary.to_pylist())
+    index = place[coded.indices.to_numpy()]
+    ends = own.ends[index]
+    n = ends - np.r_[0, own.ends][index]
+    upto = np.cumsum(n)
+    out = own.ids[np.repeat(ends - upto, n) + np.arange(upto[-1] if len(upto) else 0)]
+    return out, np.r_[0, upto][split.offsets.to_numpy()[1:]]
 
 
 def _schema(code: str, length: int) -> pa.Schema:
@@ -85,12 +115,18 @@ class _Writer:
         self.ids, self.starts, self.docs = array(code), [], []
         self.n_docs = self.n_tokens = self.n_sequences = 0
 
-    def add(self, doc_id: int | None, ids: array) -> None:
+    def add(self, doc_id: int | None, ids: np.ndarray, end_id: int) -> None:
         self.starts.append(len(self.ids))
         self.docs.append(doc_id)
         self.n_docs += 1
-        self.n_tokens += len(ids)
-        self.ids.extend(ids)
+        self.n_tokens += len(ids) + 1
+        for k in range(0, len(ids), self.full):
+            self.ids.frombytes(ids[k : k + self.full].tobytes())
+            self._flush()
+        self.ids.append(end_id)
+        self._flush()
+
+    def _flush(self) -> None:
         while len(self.ids) >= self.full:
             self._write(self.full)
 
@@ -120,6 +156,20 @@ class _Writer:
         self.sink.close()
 
 
+def _lots(batches):
+    names, texts, size = [], [], 0
+    for batch in batches:
+        for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            names.append(doc_id)
+            texts.append(body.as_py())
+            size += len(texts[-1])
+            if size >= LOT_BYTES:
+                yield names, texts
+                names, texts, size = [], [], 0
+    if names:
+        yield names, texts
+
+
 def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, length: int = SEQUENCE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode ``docs`` into files under ``folder``; returns the manifest, a lazy table that writes when it is run."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
@@ -130,12 +180,11 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, length: int
     def files(batches):
         task = TaskContext.get()
         name = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}.arrow"
-        out = _Writer(name, tokenizer(path)[2], length)
-        for batch in batches:
-            for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(path, body.as_py())
-                ids.append(end_id)
-                out.add(doc_id, ids)
+        out = _Writer(name, worker(path).type.char, length)
+        for names, texts in _lots(batches):
+            ids, ends = encode(path, texts)
+            for doc_id, a, b in zip(names, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                out.add(doc_id, ids[a:b], end_id)
         out.close()
         yield pa.RecordBatch.from_pydict(
             {"part": [task.partitionId()], "path": [name], "n_docs": [out.n_docs], "n_tokens": [out.n_tokens], "n_sequences": [out.n_sequences]},

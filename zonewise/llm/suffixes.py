@@ -213,7 +213,7 @@ class Family:
         if length - gram > 255 or gram > length:
             raise ValueError("a window may be at most 255 bytes longer than its gram")
         self.scratch, self.length, self.gram = scratch, length, gram
-        self.levels: list[tuple[int, DataFrame]] = []
+        self.levels: list[tuple[int, DataFrame, DataFrame]] = []  # size in batches, entries, the table that holds them
         self.covered: list[DataFrame] = []
         self.ends: list[DataFrame] = []
 
@@ -223,7 +223,7 @@ class Family:
         part = self.scratch.settle(sample(docs, self.length, self.gram), by="kind")
         fresh = part.filter(F.col("kind") == NEW).select("gram", "body", "doc", "place", F.lit(False).alias("old"))
         every = fresh
-        for _, level in self.levels:
+        for _, level, _ in self.levels:
             every = every.unionAll(level.select("gram", "body", "doc", "place", F.lit(True).alias("old")))
         # at most one gram in CROWDED entries of a part can be here, and usually none is
         hot = self.scratch.settle(part.filter(F.col("kind") == HOT).select(F.col("gram").alias("_gram")).distinct())
@@ -238,7 +238,7 @@ class Family:
         found = self.scratch.settle(scan(ordered, self.length), by="kind")
         self.covered += [self._spans(part), self._spans(found)]
         self.ends.append(found.filter(F.col("kind") == ENDS).select("doc", "place"))
-        self.levels.append((1, found.filter(F.col("kind") == NEW)))
+        self.levels.append((1, found.filter(F.col("kind") == NEW), found))
         self.scratch.drop_part(part, f"kind={NEW}")
 
     def _spans(self, table: DataFrame) -> DataFrame:
@@ -247,10 +247,19 @@ class Family:
     def _merge(self) -> None:
         """Two youngest levels of equal size become one, as often as that is so."""
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (n, a), (_, b) = self.levels[-2:]
+            (n, a, _), (_, b, _) = pair = self.levels[-2:]
             both = a.select("gram", "body", "doc", "place").unionAll(b.select("gram", "body", "doc", "place"))
-            merged = self.scratch.settle(both.repartition("gram").sortWithinPartitions("gram", "body", "doc", "place"))
-            self.levels[-2:] = [(2 * n, merged)]
+            both = both.withColumn("kind", F.lit(NEW)).repartition("gram").sortWithinPartitions("gram", "body", "doc", "place")
+            merged = self.scratch.settle(both, by="kind")
+            self.levels[-2:] = [(2 * n, merged.filter(F.col("kind") == NEW), merged)]
+            for *_, table in pair:
+                self.scratch.drop_part(table, f"kind={NEW}")
+
+    def close(self) -> None:
+        """Give up the levels; what has been found stays."""
+        for *_, table in self.levels:
+            self.scratch.drop_part(table, f"kind={NEW}")
+        self.levels = []
 
     def spans(self, docs: DataFrame) -> DataFrame:
         """doc, start, end of covered bytes, in pieces that may overlap; ``docs`` holds every text added."""
@@ -259,11 +268,9 @@ class Family:
             ends = ends.unionAll(e)
         per_doc = ends.distinct().groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("place").alias("places"))
         texts = docs.join(per_doc, docs["doc"] == per_doc["_doc"]).select("doc", "text", "places")
-        parts = self.scratch.settle(windows(texts, self.length), by="kind")
-        one = parts.filter(F.col("kind") == NEW).drop("kind")
-        ordered = one.repartition("gram", "body").sortWithinPartitions("gram", "body", "doc", "place")
+        ordered = windows(texts, self.length).repartition("gram", "body").sortWithinPartitions("gram", "body", "doc", "place")
         out = repeated(ordered, self.length)
-        for s in [self._spans(parts), *self.covered]:
+        for s in self.covered:
             out = out.unionAll(s)
         return out
 
@@ -310,11 +317,15 @@ def windows(texts: DataFrame, length: int) -> DataFrame:
 
 
 def repeated(ordered: DataFrame, length: int) -> DataFrame:
-    """Spans of windows that are not the earliest of their fingerprint, from partitions sorted by it."""
+    """Spans of windows that are not the earliest of their fingerprint, from partitions sorted by it; covered spans pass."""
 
     def run(batches):
         first = None
         for batch in batches:
+            spans = batch.filter(pa.array(batch.column("kind").to_numpy() == COVERED))
+            if spans.num_rows:
+                yield pa.RecordBatch.from_arrays([spans.column(c) for c in ("doc", "gram", "body")], names=["doc", "start", "end"])
+            batch = batch.filter(pa.array(batch.column("kind").to_numpy() == NEW))
             if not batch.num_rows:
                 continue
             g, b, d, p = (batch.column(c).to_numpy() for c in ("gram", "body", "doc", "place"))
@@ -338,6 +349,7 @@ def repeats(docs: DataFrame, scratch: Scratch, batches: int = BATCHES, length: i
     for low, high in zip([None, *bounds], [*bounds, None], strict=True):
         batch = rows if low is None else rows.filter(F.col("doc") > low)
         family.add(batch if high is None else batch.filter(F.col("doc") <= high))
+    family.close()
     found = family.spans(rows).filter("end > start")
     return scratch.settle(found.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "end")).alias("spans")))
 
@@ -365,7 +377,7 @@ def kept(body: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
 
 
 def apply(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """All columns of ``docs`` and ``_kept`` (remaining bytes), ``_spans`` (maximal removed runs)."""
+    """All columns of ``docs``, ``_kept`` (remaining text without the characters that were cut in part) and ``_spans`` (maximal removed runs)."""
     named = found.select(F.col("doc_id").alias("_id"), F.col("spans").alias("_found"))
     both = docs.join(named, F.col("doc_id") == F.col("_id"), "left").drop("_id").withColumn("_text", F.coalesce("text", F.lit("")))
 
@@ -380,11 +392,11 @@ def apply(docs: DataFrame, found: DataFrame) -> DataFrame:
                 else:
                     made.append((body, 0))
             rest = batch.drop_columns(["_text", "_found"])
-            rest = rest.append_column("_kept", pa.array([m[0] for m in made], pa.binary()))
+            rest = rest.append_column("_kept", pa.array([m[0].decode(errors="ignore") for m in made], pa.string()))
             yield rest.append_column("_spans", pa.array([m[1] for m in made], pa.int64()))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return both.mapInArrow(run, f"{schema}, _kept binary, _spans long")
+    return both.mapInArrow(run, f"{schema}, _kept string, _spans long")
 
 
 def digest(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.workset import Scratch, settle, shared_folder
-from . import chat, decontaminate, quality, sharding, simhash, suffixes, tokenfiles, topk
+from . import chat, decontaminate, licenses, packing, quality, sharding, simhash, suffixes, tokenfiles, topk
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def _own_folder(spark: SparkSession, name: str) -> str:
     return Scratch(spark).folder(name)
 
 
+def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        return scratch.keep(packing.pack(table(spark, folder, "documents"), scratch))
+
+
 def op2_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.range(2).select(
@@ -62,6 +67,10 @@ def op8_top_k(spark: SparkSession, folder: str) -> DataFrame:
         return scratch.keep(topk.search(topk.build(vectors, scratch), vectors.filter(F.col("id") % 20 == 0), scratch))
 
 
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.shard(table(spark, folder, "documents"), _own_folder(spark, "shards"))
     return placed.select(
@@ -69,7 +78,19 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_formatting, op3_benchmark_decontamination, op4_suffix_dedup, op5_simhash_near_duplicates, op6_token_files, op7_quality_classifier, op8_top_k, op10_sharding)}
+_ALL = (
+    op1_best_fit_packing,
+    op2_chat_formatting,
+    op3_benchmark_decontamination,
+    op4_suffix_dedup,
+    op5_simhash_near_duplicates,
+    op6_token_files,
+    op7_quality_classifier,
+    op8_top_k,
+    op9_license_scan,
+    op10_sharding,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = {
     "op8_top_k": """
 WITH x AS (

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 POSITIVES, UNLABELLED = 12_000, 24_000
-BINS, STEPS, RATE, DECAY = 16, 250, 0.05, 1e-4
+BINS, STEPS, RATE, BACK = 16, 250, 0.05, 0.1
 
 _kind = np.full(256, 6, np.uint8)  # other symbols
 for _k, _chars in enumerate([range(97, 123), range(65, 91), range(48, 58), b" \t", b"\n\r", b".,;:'\"-()?"]):
@@ -81,7 +81,7 @@ class Model:
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model | None:
-    """Full-batch Adam on the non-negative risk: where the bounded part turns negative, its gradient is walked back."""
+    """Full-batch Adam on the non-negative risk: while the bounded part is negative, its gradient is walked back, discounted by BACK."""
     if not len(positive) or not len(unlabelled):
         return None
     both = np.concatenate([positive, unlabelled])
@@ -95,17 +95,16 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model | N
     for t in range(1, STEPS + 1):
         g = theta[flat].sum(axis=1) + theta[-1]
         gp, gu = g[:n_pos], g[n_pos:]
-        rest = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
         d = np.empty(len(g))
-        if rest >= 0:
-            d[:n_pos] = prior / n_pos * -sigmoid(-gp) - prior / n_pos * sigmoid(gp)
+        if np.logaddexp(0, gu).mean() >= prior * np.logaddexp(0, gp).mean():
+            d[:n_pos] = -prior / n_pos
             d[n_pos:] = sigmoid(gu) / len(gu)
         else:
-            d[:n_pos] = prior / n_pos * sigmoid(gp)
-            d[n_pos:] = -sigmoid(gu) / len(gu)
+            d[:n_pos] = BACK * prior / n_pos * sigmoid(gp)
+            d[n_pos:] = -BACK * sigmoid(gu) / len(gu)
         grad = np.bincount(flat.ravel(), np.repeat(d, flat.shape[1]), size + 1)
         grad[-1] = d.sum()
-        grad[:-1] += DECAY * theta[:-1]
+        grad[:-1] += theta[:-1] / len(g)  # the fewer rows, the stronger the pull to zero
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad**2
         theta -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)

@@ -63,7 +63,7 @@ def test_trees_learn_and_importances_sum_to_one(table):
     errors = predict(table).select(F.avg(F.abs(F.col("_p") - F.col("neighborhood_score")))).first()[0]
     baseline = models.metrics(models.loo_baseline(table), "b").first().mae
     assert errors < baseline
-    cv = models.cross_validate(models.random_forest(), table, NAMES, folds=3)
+    cv = models.cross_validate(models.random_forest(), table, NAMES, cv=3)
     assert cv.count() == table.count() and cv.select("name").distinct().count() == table.count()
 
 

@@ -12,6 +12,7 @@ from ..functions import geometry as G
 from ..functions.crs import assert_wgs84
 from .proximity import Sources, Targets, as_targets, count_table, nearest_table
 from .stats import by_zone
+from .workset import settle
 
 SPATIAL = [
     "dist_to_nearest_transit_m",
@@ -23,14 +24,19 @@ SPATIAL = [
 
 
 def zone_spatial(
-    zones: DataFrame, stops: DataFrame | Targets, parks: DataFrame | Targets, key: str = "name", **count_options
+    zones: DataFrame, stops: DataFrame | Targets, parks: DataFrame | Targets, key: str | None = None, **count_options
 ) -> DataFrame:
     """Distances to the nearest stop and park and counts around the centroid of each zone.
 
-    ``key`` must be unique. Stops are searched once for both radii. The four searches do not depend on one another and
+    ``key`` names a unique column; without one every row gets a number of its own for the time of the search, so zones
+    that share a name, or have none, are measured each for itself. Stops are searched once for both radii. The four searches do not depend on one another and
     run as concurrent jobs. Options go to ``count_table``.
     """
     assert_wgs84(zones, "zones")
+    numbered = key is None
+    if numbered:
+        key = "_zone"
+        zones = settle(zones.withColumn(key, F.monotonically_increasing_id()))
     centres = zones.filter(F.col("geometry").isNotNull()).select(F.col(key).alias("skey"), G.metric_centroid(F.col("geometry")).alias("c"))
     centres = centres.select("skey", F.col("c.x").alias("sx"), F.col("c.y").alias("sy"))
     wide = {SPATIAL[2]: settings.TRANSIT_RADIUS_M, SPATIAL[3]: settings.WIDE_TRANSIT_RADIUS_M}
@@ -44,9 +50,12 @@ def zone_spatial(
             pool.submit(count_table, source, park_side, {SPATIAL[4]: settings.PARK_RADIUS_M}, **count_options),
         ]
         tables = [f.result() for f in found]
-    for table in tables:
-        zones = zones.join(table, key, "left")
-    return zones
+    # the narrow tables meet first, so that the geometry is joined once
+    found = tables[0]
+    for table in tables[1:]:
+        found = found.join(table, key, "full")
+    zones = zones.join(found, key, "left")
+    return zones.drop(key) if numbered else zones
 
 
 def attach_stats(zones: DataFrame, transactions: DataFrame, by: str = "neighborhood") -> DataFrame:

@@ -1,7 +1,8 @@
 """Regression on zone features: leave-one-out comparison, fitted predictions, importances.
 
 Baseline and ridge are cross-validated exactly from sums over all zones: leaving a zone out only subtracts its own
-contribution, so no model is refitted. Tree ensembles use Spark ML and fold columns.
+contribution, so no model is refitted. Tree ensembles use Spark ML and fold columns. One argument names the kind of
+cross-validation for all models, and the result carries it.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import pandas as pd
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -21,8 +22,10 @@ from ..functions.crs import assert_wgs84, require_columns
 from ..functions.numeric import half_even
 from .recommend import recommend
 from .scoring import composite, rank_by
+from .stats import long_form, percentiles
 from .workset import settle
 
+# Feature columns and target.
 RAW_FEATURES = [
     "avg_price",
     "avg_price_per_m2",
@@ -36,7 +39,8 @@ RAW_FEATURES = [
     "parks_1km",
 ]
 TARGET = "neighborhood_score"
-LOO_ROWS = 50  # tree models are left-one-out cross-validated up to this many zones
+# Rows per partition of the tables that models are fitted on, many times each.
+FIT_ROWS = 50_000
 _COMPOSITES = {
     "transit_composite": ("dist_to_nearest_transit_m", "transit_stops_500m"),
     "park_composite": ("dist_to_nearest_park_m", "parks_1km"),
@@ -44,8 +48,8 @@ _COMPOSITES = {
 _NEGLIGIBLE = 1e-10
 
 
-def features(zones: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Zones with complete double feature columns, and their names.
+def features(zones: DataFrame, whole: bool = False) -> tuple[DataFrame, list[str]]:
+    """Zones with complete double feature columns, and their names; ``whole`` keeps the row itself beside them as ``_row``.
 
     Gaps take the median over the given zones; a column without any value is no feature.
     """
@@ -57,9 +61,13 @@ def features(zones: DataFrame) -> tuple[DataFrame, list[str]]:
     centre = G.metric_centroid(F.col("geometry"))
     columns["centroid_x"], columns["centroid_y"] = centre["x"], centre["y"]
     kept = [c for c in ("name", TARGET) if c in zones.columns]
+    if whole:
+        kept = ["_row"]
+        zones = zones.select("*", F.struct(*zones.columns).alias("_row"))
     table = zones.select(*kept, *[v.alias(f"f_{c}") for c, v in columns.items()])
-    medians = table.agg(*[F.median(f"f_{c}").alias(c) for c in columns]).first().asDict()
-    names = [c for c in columns if medians[c] is not None]
+    middle = percentiles(long_form(table, [f"f_{c}" for c in columns], []), ["column"], "value", {"m": 0.5})
+    medians = {r["column"][2:]: r["m"] for r in middle.collect()}  # one row per feature
+    names = [c for c in columns if c in medians]
     return table.select(*kept, *[F.coalesce(f"f_{c}", F.lit(medians[c])).alias(c) for c in names]), names
 
 
@@ -189,20 +197,31 @@ def gradient_boosting() -> Trees:
     return Trees(GBTRegressor(maxIter=50, maxDepth=2, stepSize=0.1, seed=42), centred=True)
 
 
-def _folds(table: DataFrame, n: int, folds: int | None) -> tuple[DataFrame, int]:
-    """A fold number per zone: its own for few zones, else from the hash of the name."""
-    if folds is None and n <= LOO_ROWS:
-        # at most LOO_ROWS rows reach this window
-        return table.withColumn("_fold", F.row_number().over(Window.orderBy("name")) - 1), n
-    k = folds or 10
-    return table.withColumn("_fold", F.pmod(F.xxhash64("name"), F.lit(k)).cast("int")), k
+class Mean:
+    """Predicts the mean of the rows it was fitted on."""
+
+    def fit(self, data: DataFrame, names: list[str], target: str):
+        mean = data.agg(F.avg(target)).first()[0]
+        return lambda df: df.withColumn("_p", F.lit(mean)), None
+
+
+def _folds(table: DataFrame, cv: str | int) -> DataFrame:
+    """A fold per row: its own for "loo", else one of ``cv`` by the row's hash."""
+    if cv == "loo":
+        return table.withColumn("_fold", F.monotonically_increasing_id())
+    if not isinstance(cv, int) or cv < 2:
+        raise ValueError('cv is "loo" or a number of folds')
+    return table.withColumn("_fold", F.pmod(F.xxhash64(*table.columns), F.lit(cv)).cast("long"))
 
 
-def cross_validate(model, table: DataFrame, names: list[str], folds: int | None = None, threads: int = 8) -> DataFrame:
-    """Out-of-fold predictions: (name, actual, predicted). Folds are fitted from concurrent driver threads."""
-    split, k = _folds(table, table.count(), folds)
-    split = settle(split)
-    present = sorted(r[0] for r in split.select("_fold").distinct().collect())  # at most k values
+def cross_validate(model, table: DataFrame, names: list[str], cv: str | int = "loo", threads: int = 8) -> DataFrame:
+    """Out-of-fold predictions: (name, actual, predicted). Folds are fitted from concurrent driver threads.
+
+    Leaving one out fits as many models as there are rows; choose a number of folds for tables of many rows.
+    """
+    split = settle(_folds(table, cv))
+    present = sorted(r[0] for r in split.select("_fold").distinct().collect())  # as many values as models to fit
+    split = split.coalesce(-(-split.count() // FIT_ROWS))
 
     def one(fold):
         predict, _ = model.fit(split.filter(F.col("_fold") != fold), names, TARGET)
@@ -217,33 +236,39 @@ def cross_validate(model, table: DataFrame, names: list[str], folds: int | None
     return out
 
 
-def metrics(predictions: DataFrame, model: str) -> DataFrame:
-    """One row: mean and population deviation of the absolute error, and R² over all predictions together."""
+def metrics(predictions: DataFrame, model: str, cv: str | int = "loo") -> DataFrame:
+    """One row: model, kind of cross-validation, mean and population deviation of the absolute error, and R² over all predictions together."""
     error = F.abs(F.col("actual") - F.col("predicted"))
     residual = F.sum((F.col("actual") - F.col("predicted")) ** 2)
     total = F.var_pop("actual") * F.count("actual")
     return predictions.agg(
         F.lit(model).alias("model"),
+        F.lit(str(cv)).alias("cv"),
         half_even(F.avg(error), 2).alias("mae"),
         half_even(F.stddev_pop(error), 2).alias("mae_std"),
         half_even(1 - residual / F.when(total > 0, total), 3).alias("r2_pooled"),
     )
 
 
+def _by_sums(table: DataFrame, names: list[str], cv, exact, model) -> DataFrame:
+    """Leave-one-out has a closed form for the mean and for ridge; folds are fitted."""
+    return exact() if cv == "loo" else cross_validate(model, table, names, cv)
+
+
 CANDIDATES = {
-    "Baseline (mean)": lambda table, names, folds: loo_baseline(table),
-    "Ridge Regression": lambda table, names, folds: loo_ridge(table, names),
-    "Random Forest": lambda table, names, folds: cross_validate(random_forest(), table, names, folds),
-    "Gradient Boosting": lambda table, names, folds: cross_validate(gradient_boosting(), table, names, folds),
+    "Baseline (mean)": lambda table, names, cv: _by_sums(table, names, cv, lambda: loo_baseline(table), Mean()),
+    "Ridge Regression": lambda table, names, cv: _by_sums(table, names, cv, lambda: loo_ridge(table, names), Ridge()),
+    "Random Forest": lambda table, names, cv: cross_validate(random_forest(), table, names, cv),
+    "Gradient Boosting": lambda table, names, cv: cross_validate(gradient_boosting(), table, names, cv),
 }
 
 
-def compare_models(zones: DataFrame, folds: int | None = None, candidates=CANDIDATES) -> DataFrame:
-    """Error of each model, best first. ``folds`` replaces leave-one-out for the tree models."""
+def compare_models(zones: DataFrame, cv: str | int = "loo", candidates=CANDIDATES) -> DataFrame:
+    """Error of each model under the same cross-validation ("loo" or a number of folds), best first."""
     _labelled(zones)
     table, names = features(zones)
     table = settle(table)
-    rows = [metrics(predict(table, names, folds), name) for name, predict in candidates.items()]
+    rows = [metrics(predict(table, names, cv), name, cv) for name, predict in candidates.items()]
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
@@ -273,20 +298,22 @@ class ScoreModel:
     def fit(self, zones: DataFrame) -> "ScoreModel":
         _labelled(zones)
         table, self._names = features(zones)
-        self._predict, self._importances = self.model.fit(settle(table), self._names, TARGET)
+        table = settle(table)
+        table = table.coalesce(max(1, -(-table.count() // FIT_ROWS)))
+        self._predict, self._importances = self.model.fit(table, self._names, TARGET)
         return self
 
     def transform(self, zones: DataFrame) -> DataFrame:
         """Add ml_score (0..100, one place) and ml_rank."""
         if self._predict is None:
             raise RuntimeError("call fit() before transform()")
-        table, names = features(zones)
+        table, names = features(zones, whole=True)
         lost = [c for c in self._names if c not in names]
         if lost:
             raise ValueError(f"features without any value: {lost}")
         score = half_even(F.least(F.greatest(F.col("_p"), F.lit(0.0)), F.lit(100.0)), 1)
-        scores = self._predict(table).select("name", score.alias("ml_score"))
-        return rank_by(zones.join(scores, "name", "left"), "ml_score", "ml_rank")
+        # predicted on the row itself: names may repeat or be missing
+        return rank_by(self._predict(table).select("_row.*", score.alias("ml_score")), "ml_score", "ml_rank")
 
     def fit_transform(self, zones: DataFrame) -> DataFrame:
         return self.fit(zones).transform(zones)
@@ -299,12 +326,12 @@ class ScoreModel:
         return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def run(scored: DataFrame, folds: int | None = None) -> dict[str, DataFrame]:
+def run(scored: DataFrame, cv: str | int = "loo") -> dict[str, DataFrame]:
     """Model comparison, predicted scores, recommendations and importances of scored zones."""
     model = ScoreModel()
     predicted = settle(model.fit_transform(scored))
     return {
-        "comparison": compare_models(scored, folds),
+        "comparison": compare_models(scored, cv),
         "scores": predicted.select("name", TARGET, "ml_score", "ml_rank"),
         "recommendations": recommend(predicted),
         "importances": model.importances(scored.sparkSession),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.crs import require_columns
+from .stats import long_form, percentiles
 
 # The texts of the actions.
 FAR_TRANSIT = "Improve transit access — nearest stop >1 km away"
@@ -22,23 +23,20 @@ def recommend(zones: DataFrame, score: str = "ml_score") -> DataFrame:
     """
     require_columns(zones, [score], "zones")
     has = set(zones.columns)
-    marks = {"_mid": F.median(score)}
-    if "avg_price" in has:
-        marks["_price75"] = F.percentile("avg_price", F.lit(0.75))
-    if "transit_stops_500m" in has:
-        marks["_stops25"] = F.percentile("transit_stops_500m", F.lit(0.25))
-    row = zones.agg(*[c.alias(n) for n, c in marks.items()])
+    judged = [c for c in (score, "avg_price", "transit_stops_500m") if c in has]
+    marks = percentiles(long_form(zones, judged, []), ["column"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    marks = {r["column"]: r for r in marks.collect()}  # one row per judged column
+    mark = lambda c, p: F.lit(marks[c][p] if c in marks else None).cast("double")
     rules = [
         ("dist_to_nearest_transit_m", lambda: F.col("dist_to_nearest_transit_m") > 1000, FAR_TRANSIT),
         ("dist_to_nearest_park_m", lambda: F.col("dist_to_nearest_park_m") > 2000, FAR_PARK),
-        ("avg_price", lambda: F.col("avg_price") > F.col("_price75"), HIGH_PRICE),
-        ("transit_stops_500m", lambda: F.col("transit_stops_500m") < F.col("_stops25"), FEW_STOPS),
+        ("avg_price", lambda: F.col("avg_price") > mark("avg_price", "p75"), HIGH_PRICE),
+        ("transit_stops_500m", lambda: F.col("transit_stops_500m") < mark("transit_stops_500m", "p25"), FEW_STOPS),
     ]
     action = F.coalesce(*[F.when(test(), F.lit(text)) for c, test, text in rules if c in has], F.lit(OTHER))
     city = F.col("name") if "name" in has else F.lit("—")
     return (
-        zones.crossJoin(F.broadcast(row))
-        .filter(F.col(score) < F.col("_mid"))
+        zones.filter(F.col(score) < mark(score, "p50"))
         .select(city.alias("city"), F.col(score).alias("ml_score"), action.alias("recommendation"))
         .orderBy("ml_score", "city")
     )

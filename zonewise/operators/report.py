@@ -34,6 +34,10 @@ def money(value: Column) -> Column:
     return F.coalesce(F.concat(F.lit("₪"), F.format_number(value, 0)), F.lit("N/A"))
 
 
+def score_label(value: Column) -> Column:
+    return F.when(value.isNotNull(), F.format_string("%.1f", value)).otherwise("N/A")
+
+
 def count_label(value: Column) -> Column:
     return F.coalesce(value.cast("bigint").cast("string"), F.lit("N/A"))
 
@@ -43,7 +47,7 @@ def ranking_table(zones: DataFrame) -> DataFrame:
     shown = {
         "rank": F.col("rank"),
         "name": F.col("name"),
-        "neighborhood_score": F.format_string("%.1f", F.col("neighborhood_score")) if "neighborhood_score" in zones.columns else None,
+        "neighborhood_score": score_label(F.col("neighborhood_score")) if "neighborhood_score" in zones.columns else None,
         "ml_score": F.col("ml_score") if "ml_score" in zones.columns else None,
         "avg_price": money(F.col("avg_price")) if "avg_price" in zones.columns else None,
         "transit_stops_500m": count_label(F.col("transit_stops_500m")) if "transit_stops_500m" in zones.columns else None,
@@ -71,8 +75,10 @@ def top_k(df: DataFrame, k: int = 12) -> DataFrame:
 
 
 def kpis(zones: DataFrame) -> DataFrame:
-    """Number of zones, best zone and its score, lowest average price, mean score; the first name wins a tie."""
-    first = F.min_by("name", F.struct((-F.col("neighborhood_score")).alias("s"), F.col("name").alias("n")))
+    """Number of zones, best zone and its score, lowest average price, mean score; the first name wins a tie, zones without a score never do."""
+    score = F.col("neighborhood_score")
+    # rows without a score have no order and are passed over
+    first = F.min_by("name", F.when(score.isNotNull(), F.struct((-score).alias("s"), F.col("name").alias("n"))))
     return zones.agg(
         F.count(F.lit(1)).alias("n_zones"),
         first.alias("top_zone"),

@@ -1,6 +1,6 @@
 """Suitability scores: three features scaled to 0..1, weighted, ranked.
 
-Statistics over all zones are one-row tables joined by broadcast; ranks come from the counted distinct scores. No step
+Statistics over all zones are one-row tables joined by broadcast; medians and ranks come from counted distinct values. No step
 sorts or holds all zones in one task.
 """
 
@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 from .. import settings
 from ..functions.crs import require_columns
 from ..functions.numeric import half_even
+from .stats import percentiles
+from .workset import BROADCAST_ROWS, settle
 
+# Column names of the features and sub-scores.
 REQUIRED = ["avg_price", "dist_to_nearest_transit_m", "dist_to_nearest_park_m", "transit_stops_500m", "parks_1km"]
 SUBSCORES = ["score_affordability", "score_transit", "score_parks"]
 _F = ["_price", "_transit", "_park"]
@@ -54,11 +57,8 @@ def _with_row(df: DataFrame, row: DataFrame) -> DataFrame:
 
 def _features(df: DataFrame) -> DataFrame:
     """The three scaled features; gaps take the median price, the largest distance, no count."""
-    fill = df.agg(
-        F.median("avg_price").alias("_mid"),
-        F.max("dist_to_nearest_transit_m").alias("_far_t"),
-        F.max("dist_to_nearest_park_m").alias("_far_p"),
-    )
+    fill = df.agg(F.max("dist_to_nearest_transit_m").alias("_far_t"), F.max("dist_to_nearest_park_m").alias("_far_p"))
+    fill = _with_row(fill, percentiles(df, [], "avg_price", {"_mid": 0.5}))
     zero = F.lit(0)
     return (
         _with_row(df, fill)
@@ -78,13 +78,20 @@ def _features(df: DataFrame) -> DataFrame:
 def rank_by(df: DataFrame, score: str, rank: str = "rank") -> DataFrame:
     """Competition rank, highest first; NULL scores get no rank.
 
-    Scores are rounded, so there are few distinct ones: those are counted and added up, and the rank is joined back.
-    The number of distinct scores is bounded by the rounding, not by the rows.
+    Equal scores are counted, the counts are sorted by range over all tasks, and only the sums per task (one row each) are
+    added up in one place; the rank is joined back on the score, by broadcast if the counted ranks are few.
     """
     counts = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
-    above = Window.orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select("_s", (F.coalesce(F.sum("_n").over(above), F.lit(0)) + 1).cast("int").alias(rank))
-    return df.join(F.broadcast(ranks), F.col(score) == F.col("_s"), "left").drop("_s")
+    ranged = settle(counts.repartitionByRange(F.desc("_s")).withColumn("_task", F.spark_partition_id()))
+    above = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = ranged.groupBy("_task").agg(F.sum("_n").alias("_in"), F.count(F.lit(1)).alias("_rows"))
+    tasks = settle(tasks.withColumn("_before", F.coalesce(F.sum("_in").over(above), F.lit(0))))
+    n = tasks.agg(F.sum("_rows")).first()[0] or 0
+    inside = Window.partitionBy("_task").orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)
+    place = F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)) + 1
+    ranks = ranged.join(F.broadcast(tasks.select("_task", "_before")), "_task").select("_s", place.cast("int").alias(rank))
+    ranks = F.broadcast(ranks) if n <= BROADCAST_ROWS else ranks
+    return df.join(ranks, F.col(score) == F.col("_s"), "left").drop("_s")
 
 
 def _scale(value: str, low: str, high: str) -> Column:

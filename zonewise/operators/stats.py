@@ -59,7 +59,9 @@ def percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, fl
     def at(p: float) -> Column:
         pos = (F.col("_total") - 1) * F.lit(float(p))
         low, high = F.col("_at")[F.floor(pos)], F.col("_at")[F.ceil(pos)]
-        return low + (high - low) * (pos - F.floor(pos))
+        # the built-in aggregate's own formula, so that both ways agree to the last bit
+        between = (F.ceil(pos) - pos) * low + (pos - F.floor(pos)) * high
+        return F.when(F.floor(pos) == F.ceil(pos), low.cast("double")).otherwise(between)
 
     return found.select(*keys, *[at(p).alias(n) for n, p in points.items()])
 
@@ -87,7 +89,7 @@ def by_zone(df: DataFrame, by: str = "neighborhood", min_count: int = settings.M
     )
 
 
-def _long(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+def long_form(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
     pairs = ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns)
     return df.select(*keys, F.expr(f"stack({len(columns)}, {pairs}) as (column, value)"))
 
@@ -95,7 +97,7 @@ def _long(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
 def describe(df: DataFrame, columns: list[str], by: str | None = None, digits: int = 0) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact quartiles: one row per column, or per column and group."""
     keys = ["column", by] if by else ["column"]
-    long = _long(df.filter(F.col(by).isNotNull()) if by else df, columns, keys[1:])
+    long = long_form(df.filter(F.col(by).isNotNull()) if by else df, columns, keys[1:])
     plain = long.groupBy(*keys).agg(
         F.count("value").alias("count"),
         F.avg("value").alias("mean"),
@@ -133,7 +135,7 @@ def area_average(stats: DataFrame) -> DataFrame:
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """Nulls, minimum, mean and maximum per feature column, in one pass."""
     return (
-        _long(df, columns, [])
+        long_form(df, columns, [])
         .groupBy("column")
         .agg(
             F.count_if(F.col("value").isNull()).alias("n_null"),

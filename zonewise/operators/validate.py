@@ -26,6 +26,7 @@ class Spec:
     unique: bool = False  # names must be unique and complete
 
 
+# Labels, required columns and geometry types of the four layers.
 TRANSACTIONS = Spec(
     "Transactions", ("transaction_price", "rooms", "area_m2", "neighborhood"), ("Point",), prices=True, names="neighborhood"
 )
@@ -78,9 +79,18 @@ def _bounds(df: DataFrame) -> tuple[list[Column], Column, Column, Column]:
 def layer(df: DataFrame, spec: Spec, known=settings.MUNICIPALITIES, country=settings.COUNTRY_BOUNDS) -> DataFrame:
     """One row per check: layer, check, severity, n_bad, message. Checks on absent columns are left out.
 
-    An empty layer reports only that; the country bounds are judged only if nothing worse was found.
+    ``known`` is a short list of names or a table with a ``name`` column. An empty layer reports only that; the country
+    bounds are judged only if nothing worse was found.
     """
-    known = list(known)
+    if spec.names not in df.columns:
+        listed, n_known = F.lit(False), F.lit(0)
+    elif isinstance(known, DataFrame):
+        names = known.select(F.col("name").alias("_known")).distinct()
+        df = df.join(names, F.col(spec.names) == F.col("_known"), "left")
+        df = df.crossJoin(F.broadcast(names.agg(F.count("_known").alias("_n_known"))))
+        listed, n_known = F.col("_known").isNotNull(), F.max("_n_known")
+    else:
+        listed, n_known = F.coalesce(F.col(spec.names).isin(list(known)), F.lit(False)), F.lit(len(set(known)))
     box, null, valid, kind = _bounds(df)
     has = set(df.columns)
     aggs = {
@@ -99,11 +109,12 @@ def layer(df: DataFrame, spec: Spec, known=settings.MUNICIPALITIES, country=sett
         aggs["bad_area"] = F.count_if(F.coalesce(area <= 0, F.lit(True)))
     if spec.names in has:
         name = F.col(spec.names)
-        aggs["unknown"] = F.count_if(~F.coalesce(name.isin(known), F.lit(False)))
+        aggs["n_known"] = n_known
+        aggs["unknown"] = F.count_if(~listed)
         if spec.unique:
             # NULL counts as one value; names beyond the known list are counted, not collected
             aggs["repeats"] = F.count(F.lit(1)) - F.count_distinct(F.coalesce(name, F.lit("\u0000")))
-            aggs["present"] = F.count_distinct(F.when(name.isin(known), name))
+            aggs["present"] = F.count_distinct(F.when(listed, name))
     row = df.agg(*[c.alias(n) for n, c in aggs.items()])
 
     crs = crs_of(df)
@@ -130,7 +141,7 @@ def layer(df: DataFrame, spec: Spec, known=settings.MUNICIPALITIES, country=sett
     ]
     whole += [(check, severity, F.col(agg), text) for agg, check, severity, text in extra if agg in aggs]
     if "present" in aggs:
-        whole.append(("missing_zones", WARNING, F.lit(len(set(known))) - F.col("present"), "listed zones without polygon"))
+        whole.append(("missing_zones", WARNING, F.col("n_known") - F.col("present"), "listed zones without polygon"))
 
     def finding(check, severity, n, text):
         bad = n.cast("bigint")

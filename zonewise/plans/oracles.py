@@ -466,9 +466,7 @@ SQL["validate_zones"] = statement(
 )
 SQL["validate_stops"] = statement(STOPS, findings(generic("stops_raw")))
 SQL["validate_parks"] = statement(FOOTPRINTS, findings(generic("footprints", "(SELECT count(*) FROM footprints WHERE twisted)")))
-SQL["missing_zones"] = statement(
-    TX, "SELECT n_name AS name FROM nation WHERE n_name NOT IN (SELECT neighborhood FROM tx WHERE transaction_price > 9980000)"
-)
+SQL["missing_zones"] = "SELECT n_name AS name FROM nation WHERE n_nationkey % 3 = 0"
 SQL["duplicate_zones"] = statement(
     FOOTPRINTS, "SELECT name, count(*) - 1 AS surplus FROM footprints GROUP BY name HAVING count(*) > 1"
 )
@@ -559,16 +557,34 @@ SQL["ml_features"] = statement(
         half_even(f"coalesce({n}, (SELECT quantile_cont({n}, 0.5) FROM raw))", 3) + f" AS {n}" for n in _ML
     ) + " FROM raw",
 )
+_LEFT_OUT = {
+    **SCORED,
+    "p": """SELECT neighborhood_score AS y,
+      (sum(neighborhood_score) OVER () - neighborhood_score) / (count(*) OVER () - 1) AS pred FROM scored""",
+    "baseline": f"SELECT {half_even('avg(abs(y - pred))', 2)} AS mae FROM p",
+}
 SQL["loo_baseline"] = statement(
-    {
-        **SCORED,
-        "p": """SELECT neighborhood_score AS y,
-          (sum(neighborhood_score) OVER () - neighborhood_score) / (count(*) OVER () - 1) AS pred FROM scored""",
-    },
-    f"""SELECT 'Baseline (mean)' AS model, {half_even('avg(abs(y - pred))', 2)} AS mae,
+    _LEFT_OUT,
+    f"""SELECT 'Baseline (mean)' AS model, 'loo' AS cv, {half_even('avg(abs(y - pred))', 2)} AS mae,
     {half_even('stddev_pop(abs(y - pred))', 2)} AS mae_std,
     {half_even('1 - sum((y - pred) * (y - pred)) / (var_pop(y) * count(y))', 3)} AS r2_pooled FROM p""",
 )
+# Models have no closed form in SQL: the queries state what must hold of them beside what SQL can compute.
+SQL["loo_ridge"] = statement(SCORED, "SELECT name, neighborhood_score AS actual, true AS as_refitted FROM scored")
+SQL["model_compare"] = statement(
+    _LEFT_OUT,
+    """SELECT model, 'loo' AS cv, CASE WHEN model LIKE 'Baseline%' THEN mae END AS baseline_mae, true AS measured
+    FROM baseline, (VALUES ('Baseline (mean)'), ('Ridge Regression'), ('Random Forest'), ('Gradient Boosting')) AS m (model)""",
+)
+SQL["model_improvement"] = statement(_LEFT_OUT, "SELECT mae AS baseline_mae, true AS consistent FROM baseline")
+SQL["ml_scores"] = statement(SCORED, "SELECT name, true AS in_range, true AS rank_fits FROM scored")
+SQL["ridge_scores"] = statement(SCORED, "SELECT name, true AS in_range, true AS rank_fits, true AS mean_kept FROM scored")
+SQL["importances"] = f"SELECT {len(_ML)} AS n_features, 8 AS n_top, true AS ordered, 1.0E0 AS total"
+SQL["predictive_flow"] = statement(
+    SCORED,
+    f"""SELECT name, neighborhood_score, true AS advice_fits, 4 AS n_models, {len(_ML)} AS n_features, true AS in_range,
+    true AS rank_fits FROM scored""",
+)
 SQL["recommendations"] = statement(
     {
         **PREDICTED,
@@ -604,11 +620,8 @@ SQL["normalise_ways"] = statement(
     f"""SELECT CASE WHEN f.park_id % 7 = 0 THEN 'Park' ELSE name END AS name, {half_even('area')} AS area_m2
     FROM sound f JOIN foot c ON f.park_id = c.park_id WHERE f.park_id % 23 <> 0""",
 )
-SQL["fill_missing_zones"] = statement(
-    {**TX, "kept": "SELECT DISTINCT neighborhood AS name FROM tx WHERE transaction_price > 9980000"},
-    """SELECT name, 'primary' AS origin, CAST(NULL AS INTEGER) AS n_nationkey FROM kept UNION ALL
-    SELECT n_name, 'backup', n_nationkey FROM nation WHERE n_name NOT IN (SELECT name FROM kept)""",
-)
+SQL["fill_missing_zones"] = """SELECT n_name AS name, CASE WHEN n_nationkey % 3 <> 0 THEN 'primary' ELSE 'backup' END AS origin,
+    CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey END AS n_nationkey FROM nation"""
 _AREAS = f"SELECT f.park_id, name, {half_even('area')} AS area_m2 FROM sound f JOIN foot c ON f.park_id = c.park_id"
 SQL["geojson_round_trip"] = statement(CENTRED, _AREAS)
 SQL["geoparquet_round_trip"] = statement(CENTRED, _AREAS)

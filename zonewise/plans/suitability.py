@@ -13,8 +13,7 @@ def enriched_zones(
     zones: DataFrame, transactions: DataFrame, stops: DataFrame, parks: DataFrame, known=settings.MUNICIPALITIES
 ) -> DataFrame:
     """Cleaned zones with spatial features and transaction statistics, written once."""
-    zones = settle(clean.zones(zones, known))
-    spatial = features.zone_spatial(zones, clean.stops(stops), clean.parks(parks))
+    spatial = features.zone_spatial(clean.zones(zones, known), clean.stops(stops), clean.parks(parks))
     return settle(features.attach_stats(spatial, clean.transactions(transactions, known)))
 
 

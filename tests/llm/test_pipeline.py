@@ -1,9 +1,9 @@
 from collections import defaultdict
 
 import corpus_pipeline
-from tests.llm.test_packing_licenses import check_bins
-from tests.llm.test_quality_decontamination import words
-from tests.llm.test_simhash import brute as brute_groups
+from test_packing_licenses import check_bins
+from test_quality_decontamination import words
+from test_simhash import brute as brute_groups
 from zonewise.llm import decontaminate, packing, quality
 
 FOLDER = "/root/testdata/sf0.001"

@@ -70,6 +70,12 @@ def test_area_in_square_metres(spark):
         (geom([SQUARE, HOLE]), True),
         (geom([SQUARE], [FAR]), True),
         (geom([BOW]), False),
+        (geom([[(1, 2)]], kind="Point"), True),
+        ("named_struct('type','Point','parts',array(array(array(named_struct('x',double('inf'),'y',0D)))))", False),
+        (geom([SQUARE, FAR]), False),
+        (geom([SQUARE], [HOLE]), False),
+        (geom([SQUARE, HOLE], [[(1.2, 1.2), (1.8, 1.2), (1.5, 1.8)]]), True),
+        (geom([SQUARE, [(0.5, 0.5), (3, 0.5), (3, 3), (0.5, 3)], HOLE]), False),
         (geom([SPIKE]), False),
         (geom([[(0, 0), (1, 1), (2, 2)]]), False),
         (geom([[(0, 0), (1, 1)]]), False),

@@ -163,3 +163,60 @@ def test_ways_and_missing_zones(spark, tmp_path):
     a = spark.createDataFrame([("x", 1)], "name string, n int")
     b = spark.createDataFrame([("x", 2, "s"), ("y", 3, "t")], "name string, n int, extra string")
     assert sorted(map(tuple, open_data.fill_missing_zones(a, b).collect())) == [("x", 1, None), ("y", 3, "t")]
+
+
+def test_csv_columns_go_by_name(spark, tmp_path):
+    path = tmp_path / "parks.csv"
+    path.write_text("lon,extra,lat,area_m2,name\n34.8,q,32.0,12.5,A\n34.9,q,x,,B\n")
+    rows = {r.name: r for r in layers.load_layer(spark, [str(path)], "parks", points=True).collect()}
+    assert (rows["A"].lon, rows["A"].lat, rows["A"].area_m2) == (34.8, 32.0, 12.5)
+    assert rows["B"].lat is None and rows["B"].area_m2 is None
+    (tmp_path / "bad.csv").write_text("name,lon\nA,1\n")
+    with pytest.raises(ValueError, match="lat"):
+        layers.load_layer(spark, [str(tmp_path / "bad.csv")], "parks")
+
+
+def test_crs_comes_from_the_file_or_is_refused(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    point = bytes([1]) + (1).to_bytes(4, "little") + b"".join(__import__("struct").pack("<d", v) for v in (179443.539389898, 663645.782280876))
+    table = pa.table({"name": ["a"], "geometry": [point]})
+    geo = {"primary_column": "geometry", "columns": {"geometry": {"encoding": "WKB", "crs": {"id": {"authority": "EPSG", "code": 2039}}}}}
+    pq.write_table(table.replace_schema_metadata({"geo": json.dumps(geo)}), tmp_path / "metric.parquet")
+    pq.write_table(table, tmp_path / "silent.parquet")
+    row = layers.read_geoparquet(spark, str(tmp_path / "metric.parquet"), points=True).first()
+    assert (row.lon, row.lat) == pytest.approx((34.78, 32.065), abs=1e-9)
+    with pytest.raises(ValueError, match="CRS"):
+        layers.read_geoparquet(spark, str(tmp_path / "silent.parquet"), points=True)
+    assert layers.read_geoparquet(spark, str(tmp_path / "silent.parquet"), points=True, crs="EPSG:2039").count() == 1
+
+
+def test_validation_sees_every_fault(spark):
+    g = lambda t, x: f"named_struct('type','{t}','parts',array(array(array(named_struct('x',{x}D,'y',32D),named_struct('x',{x}D+1,'y',32D),named_struct('x',{x}D,'y',33D)))))"
+    df = spark.sql(f"select 'A' name, {g('Polygon', 34.8)} geometry union all select 'A', null union all select 'X', {g('Line', 34.8)} union all select 'B', {g('Polygon', 34.9)}")
+    known = spark.createDataFrame([("A",), ("B",), ("C",), ("C",)], "name string")
+    for names in (known, ["A", "B", "C"]):
+        bad = {f.check: f.n_bad for f in validate.layer(df, validate.ZONES, known=names).filter("n_bad > 0").collect()}
+        assert bad == {"crs": 1, "invalid_geometry": 1, "null_geometry": 1, "geometry_type": 2, "duplicate_names": 1, "unknown_names": 1, "missing_zones": 1}
+
+
+def test_zones_without_score_come_last(spark):
+    from zonewise.operators import report
+
+    df = spark.createDataFrame([("a", None, None, None), ("b", 50.0, 1, 7.0)], "name string, neighborhood_score double, rank int, avg_price double")
+    assert report.kpis(df).first().top_zone == "b"
+    assert {r.name: r.neighborhood_score for r in report.ranking_table(df).collect()} == {"a": "N/A", "b": "50.0"}
+
+
+def test_settled_tables_go_away(spark, tmp_path):
+    from zonewise.operators import workset
+
+    with workset.Scratch(spark) as scratch:
+        table = scratch.settle(spark.range(5).withColumn("kind", F.col("id") % 2), by="kind")
+        assert table.count() == 5
+        scratch.drop_part(table, "kind=1")
+        scratch.drop(scratch.settle(spark.range(3)))
+        kept = scratch.keep(spark.range(4))
+        path = scratch.path
+    assert kept.count() == 4 and not layers.exists(spark, path)

@@ -138,15 +138,16 @@ def area(geom: Column) -> Column:
 
 
 def planar_centroid(geom: Column) -> Column:
-    """Area-weighted centroid as ``struct<x,y>`` in the units of the input."""
+    """Area-weighted centroid as ``struct<x,y>`` in the units of the input; a point is its own."""
     origin = vertices(geom)[0]
-    return let(
+    weighted = let(
         _polygon_moments(geom),
         lambda m: F.struct(
             (origin["x"] + m["mx"] / (m["a"] * 3.0)).alias("x"),
             (origin["y"] + m["my"] / (m["a"] * 3.0)).alias("y"),
         ),
     )
+    return F.when(geom["type"] == "Point", F.struct(origin["x"].alias("x"), origin["y"].alias("y"))).otherwise(weighted)
 
 
 def metric_centroid(geom: Column) -> Column:
@@ -257,10 +258,35 @@ def _ring_is_simple(segs: Column) -> Column:
     return ~F.exists(F.transform(segs, bad), lambda t: t)
 
 
+def _vertex_inside(ring: Column, edge_list: Column) -> Column:
+    return F.exists(ring, lambda v: point_in_edges(edge_list, v["x"], v["y"]))
+
+
+def _well_nested(parts: Column) -> Column:
+    """For rings that do not cross: one vertex strictly inside tells on which side of another ring a ring lies."""
+
+    def holes_fit(p):
+        holes = F.slice(p, 2, F.size(p))
+        in_shell = let(_ring_edges(p[0]), lambda shell: F.forall(holes, lambda h: _vertex_inside(h, shell)))
+        in_hole = F.exists(
+            F.transform(holes, lambda a, i: F.exists(F.transform(holes, lambda b, j: (i != j) & _vertex_inside(a, _ring_edges(b))), lambda t: t)),
+            lambda t: t,
+        )
+        return in_shell & ~in_hole
+
+    def apart(lists):
+        met = lambda p, i: F.exists(F.transform(lists, lambda e, j: (i != j) & _vertex_inside(p[0], e)), lambda t: t)
+        return ~F.exists(F.transform(parts, met), lambda t: t)
+
+    every_edge = F.transform(parts, lambda p: F.flatten(F.transform(p, _ring_edges)))
+    return F.forall(parts, holes_fit) & F.when(F.size(parts) == 1, True).otherwise(let(every_edge, apart))
+
+
 def is_valid(geom: Column) -> Column:
-    """Non-null, finite, every ring closed around a non-zero area without meeting itself, no two rings crossing.
+    """Points: finite. Others: finite, every ring closed around a non-zero area without meeting itself, no two rings
+    crossing, every hole inside its shell and outside the other holes, no part inside another.
 
-    Nesting of holes is not examined. Comparison of edge pairs is quadratic in the vertices of one geometry.
+    Comparison of edge pairs is quadratic in the vertices of one geometry.
     """
 
     def finite(rings):
@@ -280,6 +306,12 @@ def is_valid(geom: Column) -> Column:
 
     def sound(rings):
         simple = let(F.transform(rings, _ring_edges), lambda lists: F.forall(lists, _ring_is_simple) & apart(lists))
-        return F.when(F.size(F.flatten(rings)) > 0, F.when(finite(rings), F.when(solid(rings), simple)))
+        nested = F.when(F.size(rings) == 1, True).otherwise(_well_nested(geom["parts"]))
+        return F.when(F.size(F.flatten(rings)) > 0, F.when(finite(rings), F.when(solid(rings), F.when(simple, nested))))
 
-    return F.coalesce(F.when(geom.isNotNull(), let(F.flatten(geom["parts"]), sound)), F.lit(False))
+    def point(rings):
+        return (F.size(F.flatten(rings)) == 1) & finite(rings)
+
+    rings = F.flatten(geom["parts"])
+    checked = F.when(geom["type"] == "Point", let(rings, point)).otherwise(let(rings, sound))
+    return F.coalesce(F.when(geom.isNotNull(), checked), F.lit(False))

@@ -620,15 +620,40 @@ def geoparquet_points(spark, sf):
 
 @query
 def csv_points(spark, sf):
+    """Columns in another order than wanted, and one that nobody asked for."""
     path = _fresh(spark, ".csv")
     x, y = project(F.col("lon"), F.col("lat"))
-    T.transit_stops(spark, sf).select("stop_id", "stop_name", x.alias("x"), y.alias("y")).write.option("header", True).csv(path)
+    stops = T.transit_stops(spark, sf).select(y.alias("y"), "stop_name", F.lit("z").alias("extra"), x.alias("x"), "stop_id")
+    stops.write.option("header", True).csv(path)
     back = layers.read_points_csv(
         spark, path, "stop_id bigint, stop_name string, x double, y double", "x", "y", crs="EPSG:2039"
     )
     return back.select("stop_id", "stop_name", half_even(F.col("lon"), 6).alias("lon"), half_even(F.col("lat"), 6).alias("lat"))
 
 
+@query
+def geoparquet_metric(spark, sf):
+    """A layer written in metres comes back in degrees by what the file says."""
+    path = _fresh(spark, ".parquet")
+    x, y = project(F.col("lon"), F.col("lat"))
+    metric = T.transactions(spark, sf).select("txn_id", x.alias("lon"), y.alias("lat"))
+    layers.write_layer(with_crs(metric, "EPSG:2039"), path)
+    back = layers.read_geoparquet(spark, path, points=True)
+    return back.select("txn_id", half_even(F.col("lon"), 6).alias("lon"), half_even(F.col("lat"), 6).alias("lat"))
+
+
+@query
+def mixed_parks(spark, sf):
+    """Points and polygons in one geometry column, through FeatureCollection files and the cleaning of parks."""
+    spot = F.array(F.array(F.array(F.struct(F.col("lon").alias("x"), F.col("lat").alias("y")))))
+    points = T.parks(spark, sf).select("name", F.struct(F.lit("Point").alias("type"), spot.alias("parts")).alias("geometry"))
+    both = points.unionByName(T.footprints(spark, sf).select("name", "geometry"))
+    path = _fresh(spark, ".geojson")
+    layers.write_geojson(with_crs(both, STORAGE_CRS), path, collection=True)
+    parks = clean.parks(layers.load_layer(spark, [path], "parks").drop("area_m2"))
+    return parks.select("name", half_even(F.col("lon"), 6).alias("lon"), half_even(F.col("lat"), 6).alias("lat"))
+
+
 @query
 def scores_round_trip(spark, sf):
     path = _fresh(spark, ".parquet")

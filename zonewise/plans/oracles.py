@@ -630,3 +630,10 @@ SQL["geojson_points"] = statement(STOPS, f"SELECT stop_name, stop_type, {_PLACE}
 SQL["geoparquet_points"] = statement(TX, f"SELECT txn_id, {_PLACE} FROM tx")
 SQL["csv_points"] = statement(STOPS, f"SELECT stop_id, stop_name, {_PLACE} FROM stops_raw")
 SQL["scores_round_trip"] = statement(SCORED, 'SELECT name, neighborhood_score, "rank" FROM scored')
+SQL["geoparquet_metric"] = SQL["geoparquet_points"]
+SQL["mixed_parks"] = statement(
+    {**CENTRED, **unprojected("foot", "foot_ll"), **PARKS},
+    f"""SELECT name, {half_even("lon", 6)} AS lon, {half_even("lat", 6)} AS lat
+    FROM sound f JOIN foot_ll c ON f.park_id = c.park_id WHERE {POLY_IN_BOX}
+    UNION ALL SELECT name, {half_even("lon", 6)}, {half_even("lat", 6)} FROM parks""",
+)

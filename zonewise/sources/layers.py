@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import geometry as G
 from ..functions.crs import crs_of, to_wgs84, with_crs
@@ -82,8 +84,15 @@ def _without_nan(df: DataFrame) -> DataFrame:
     return df.withColumns({f.name: nan_to_null(F.col(f.name)) for f in df.schema if f.dataType.typeName() == "double"})
 
 
-def read_geoparquet(spark: SparkSession, path, points: bool = False, column: str = "geometry", crs: str = STORAGE_CRS) -> DataFrame:
-    """Parquet with a WKB column; the other columns keep their pruning and filters at the scan."""
+def read_geoparquet(spark: SparkSession, path, points: bool = False, column: str = "geometry", crs: str | None = None) -> DataFrame:
+    """Parquet with a WKB column; the other columns keep their pruning and filters at the scan.
+
+    The coordinate system comes from the file; ``crs`` declares it for a file that says nothing, which is refused otherwise.
+    """
+    if crs is None:
+        crs = file_crs(spark, path if isinstance(path, str) else path[0])
+        if crs is None:
+            raise ValueError(f"{path} declares no CRS; pass crs= to declare it")
     raw = spark.read.parquet(path) if isinstance(path, str) else spark.read.parquet(*path)
     attributes = [c for c in raw.columns if c != column]
     if points:
@@ -98,13 +107,51 @@ def read_geoparquet(spark: SparkSession, path, points: bool = False, column: str
 def read_points_csv(
     spark: SparkSession, path, schema: str, lon: str = "lon", lat: str = "lat", crs: str = STORAGE_CRS
 ) -> DataFrame:
-    """CSV with a header and two coordinate columns, in degrees or in the system named by ``crs``."""
-    df = spark.read.schema(schema).option("header", True).csv(path)
+    """CSV with a header and two coordinate columns, in degrees or in the system named by ``crs``.
+
+    Columns are found by the names in the header, in any order, and cast leniently; further columns are left out, a missing
+    one is an error, and so is a file whose header differs from the first one's.
+    """
+    wanted = StructType.fromDDL(schema)
+    header = spark.read.option("header", True).csv(path)
+    missing = [f.name for f in wanted if f.name not in header.columns]
+    if missing:
+        raise ValueError(f"{path}: no columns {missing} in the header {header.columns}")
+    df = spark.read.schema(header.schema).option("header", True).option("enforceSchema", False).csv(path)
+    df = df.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in wanted])
     return to_wgs84(_without_nan(df.withColumnsRenamed({lon: "lon", lat: "lat"})), crs)
 
 
-def load_layer(spark: SparkSession, paths: list[str], layer: str, points: bool | None = None, crs: str = STORAGE_CRS) -> DataFrame:
-    """The first of the paths that exists, read by its suffix."""
+def file_crs(spark: SparkSession, path: str) -> str | None:
+    """The coordinate system a GeoParquet file declares: beside it as ``_geo``, or in the footer of one of its files."""
+    if exists(spark, f"{path}/_geo"):
+        geo = "".join(r[0] for r in spark.read.text(f"{path}/_geo").collect())  # one line
+    else:
+        files = spark.read.parquet(path).inputFiles()
+        if not files:
+            return None
+        jvm = spark._jvm
+        source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(
+            jvm.org.apache.hadoop.fs.Path(files[0]), spark._jsc.hadoopConfiguration()
+        )
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+        try:
+            geo = reader.getFooter().getFileMetaData().getKeyValueMetaData().get("geo")
+        finally:
+            reader.close()
+    if not geo:
+        return None
+    told = json.loads(geo)
+    column = told["columns"][told["primary_column"]]
+    crs = column.get("crs", STORAGE_CRS)  # the format's default is longitude and latitude in degrees
+    if isinstance(crs, dict):
+        known = crs.get("id") or {}
+        crs = f"{known.get('authority')}:{known.get('code')}"
+    return STORAGE_CRS if crs == "OGC:CRS84" else crs
+
+
+def load_layer(spark: SparkSession, paths: list[str], layer: str, points: bool | None = None, crs: str | None = None) -> DataFrame:
+    """The first of the paths that exists, read by its suffix. Text formats are in degrees unless ``crs`` says otherwise."""
     points = layer in POINT_LAYERS if points is None else points
     for path in paths:
         if not exists(spark, path):
@@ -112,19 +159,21 @@ def load_layer(spark: SparkSession, paths: list[str], layer: str, points: bool |
         if path.rstrip("/").endswith(".parquet"):
             return read_geoparquet(spark, path, points, crs=crs)
         if path.rstrip("/").endswith(".csv"):
-            return read_points_csv(spark, path, f"{SCHEMAS[layer]}, lon double, lat double", crs=crs)
+            return read_points_csv(spark, path, f"{SCHEMAS[layer]}, lon double, lat double", crs=crs or STORAGE_CRS)
         lines = path.rstrip("/").endswith((".geojsonl", ".ndjson"))
-        return read_geojson(spark, path, SCHEMAS[layer], points, lines, crs)
+        return read_geojson(spark, path, SCHEMAS[layer], points, lines, crs or STORAGE_CRS)
     raise FileNotFoundError(f"{layer}: none of {paths} exists")
 
 
 def write_layer(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """GeoParquet: geometry as WKB. The file metadata is out of reach of the writer, so it lies beside as ``_geo``."""
     spark = df.sparkSession
-    crs = crs_of(df) or STORAGE_CRS
+    crs = crs_of(df)
+    if crs is None:
+        raise ValueError("layer has no CRS; declare it before writing")
     if "geometry" in df.columns:
         out = df.withColumn("geometry", wkb.from_geometry(F.col("geometry")))
-        types = ["Polygon", "MultiPolygon"]
+        types = ["Point", "Polygon", "MultiPolygon"]
     else:
         out = df.withColumn("geometry", wkb.from_point(F.col("lon"), F.col("lat"))).drop("lon", "lat")
         types = ["Point"]
@@ -143,12 +192,28 @@ def _geojson_shape(df: DataFrame) -> Column:
     pairs = lambda ring: F.transform(ring, lambda v: F.array(v["x"], v["y"]))
     closed = lambda ring: F.when(ring[0] == F.element_at(ring, -1), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
     rings = F.transform(F.col("geometry.parts"), lambda p: F.transform(p, lambda r: pairs(closed(r))))
-    text = F.when(F.col("geometry.type") == "Polygon", F.to_json(rings[0])).otherwise(F.to_json(rings))
+    text = (
+        F.when(F.col("geometry.type") == "Point", F.to_json(F.array(*[F.col("geometry.parts")[0][0][0][c] for c in ("x", "y")])))
+        .when(F.col("geometry.type") == "Polygon", F.to_json(rings[0]))
+        .otherwise(F.to_json(rings))
+    )
     return F.struct(F.col("geometry.type").alias("type"), text.alias("coordinates"))
 
 
-def write_geojson(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One feature per line."""
+def _collection(batches):
+    """The features of a partition as one FeatureCollection, a feature to a line."""
+    before = '{"type":"FeatureCollection","features":['
+    for batch in batches:
+        lines = batch.column(0).to_pylist()
+        for k, line in enumerate(lines):
+            lines[k] = before + line
+            before = ","
+        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+    yield pa.RecordBatch.from_arrays([pa.array([(before if before != "," else "") + "]}"])], names=["value"])
+
+
+def write_geojson(df: DataFrame, path: str, mode: str = "errorifexists", collection: bool = False) -> None:
+    """One feature per line, which any reader can split; ``collection`` makes each file one FeatureCollection."""
     properties = [c for c in df.columns if c not in ("geometry", "lon", "lat")]
     shape = _geojson_shape(df)
     # coordinates nest to different depths, so they are put in as text rather than through one schema
@@ -159,7 +224,8 @@ def write_geojson(df: DataFrame, path: str, mode: str = "errorifexists") -> None
         F.lit('{"type":"Feature","properties":'), F.to_json(F.struct(*properties)),
         F.lit(',"geometry":'), F.coalesce(geometry, F.lit("null")), F.lit("}"),
     )
-    df.select(line.alias("value")).write.mode(mode).text(path)
+    out = df.select(line.alias("value"))
+    (out.mapInArrow(_collection, "value string") if collection else out).write.mode(mode).text(path)
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame | None:

@@ -61,6 +61,9 @@ def _cut(rows: DataFrame, carry: list[str], size: float, bounded: bool) -> DataF
     out = out.withColumns({"_lx": lo_x, "_hx": hi_x}).withColumn("_y", F.explode(F.sequence(lo_y, hi_y)))
     # edges of this row of cells only: enough for the parity of any point in it
     out = out.withColumn("_e", F.filter("_e", lambda v: (v["cy0"] <= F.col("_y")) & (v["cy1"] >= F.col("_y"))))
+    if not bounded:
+        # one polygon may be far larger than the others: its rows of cells go to several tasks before they are cut
+        out = out.repartition("_y", "_lx", F.size("_e"))
     out = out.withColumn("_x", F.explode(F.sequence("_lx", "_hx")))
     border = F.exists("_e", lambda v: (v["cx0"] <= F.col("_x")) & (v["cx1"] >= F.col("_x")))
     half = F.lit(0.5)
@@ -77,8 +80,8 @@ def _cut(rows: DataFrame, carry: list[str], size: float, bounded: bool) -> DataF
     return out.select(*carry, F.col("_x").alias("cx"), F.col("_y").alias("cy"), "_inside", kept.alias("_edges"))
 
 
-def _pays(rows: DataFrame, size: float) -> bool:
-    """Would cells of the finer size hold few rows more than the coarser ones? Judged by the boxes of the borders."""
+def _divided(size: float) -> Column:
+    """How many cells of the finer size a row of a coarser one would become, judged by the box of its border."""
 
     def reach(edge, cell):
         first = F.greatest(_slot(F.array_min(F.transform("_edges", lambda e: F.least(*[e[c] for c in edge]))), size), F.col(cell) * _SPLIT)
@@ -88,11 +91,7 @@ def _pays(rows: DataFrame, size: float) -> bool:
         )
         return F.greatest(last - first + 1, F.lit(1))
 
-    cells = F.when(F.col("_inside"), F.lit(_SPLIT * _SPLIT)).otherwise(
-        reach(("x1", "x2"), "cx") * reach(("y1", "y2"), "cy")
-    )
-    row = rows.agg(F.count(F.lit(1)).alias("now"), F.sum(cells).alias("then")).first()
-    return row["then"] <= _WORTHWHILE * row["now"]
+    return F.when(F.col("_inside"), F.lit(_SPLIT * _SPLIT)).otherwise(reach(("x1", "x2"), "cx") * reach(("y1", "y2"), "cy"))
 
 
 class PolygonCells:
@@ -110,12 +109,13 @@ class PolygonCells:
             current = settle(_cut(current, carry, step, bounded))
             crowded, n_crowded = None, 0
             if level < _MAX_SPLITS:
-                border = current.groupBy("cx", "cy").agg(F.count_if(~F.col("_inside")).alias("n"))
-                crowded = border.filter(F.col("n") > CELL_POLYGONS).drop("n")
+                # every cell is judged for itself: a stack of equal polygons stays, its neighbours are divided
+                per_cell = current.groupBy("cx", "cy").agg(
+                    F.count_if(~F.col("_inside")).alias("n"), F.count(F.lit(1)).alias("now"), F.sum(_divided(step / _SPLIT)).alias("then")
+                )
+                pays = (F.col("n") > CELL_POLYGONS) & (F.col("then") <= _WORTHWHILE * F.col("now"))
+                crowded = settle(per_cell.filter(pays).select("cx", "cy"))
                 n_crowded = crowded.count()
-                crowded = settle(crowded) if n_crowded else None
-                if n_crowded and not _pays(current.join(crowded, ["cx", "cy"], "left_semi"), step / _SPLIT):
-                    n_crowded = 0
             if n_crowded == 0:
                 tables.append(current.withColumn("level", F.lit(level)))
                 break
@@ -278,8 +278,9 @@ def _polygons_intersect(a: Column, b: Column) -> Column:
 
 
 def _box_cells(df: DataFrame, tag: str, size: float) -> DataFrame:
-    b = G.bbox(F.col(f"{tag}_g"))
-    out = df.withColumns({f"{tag}_{n}": c for n, c in b.items()})
+    """Key and box only, a row per cell of the box: shapes stay behind until the pairs are known."""
+    b = G.bbox(F.col("geometry"))
+    out = df.withColumns({f"{tag}_{n}": c for n, c in b.items()}).drop("geometry")
     for a, lo, hi in (("cx", "xmin", "xmax"), ("cy", "ymin", "ymax")):
         out = out.withColumn(a, F.explode(F.sequence(_slot(F.col(f"{tag}_{lo}"), size), _slot(F.col(f"{tag}_{hi}"), size))))
     return out
@@ -288,8 +289,8 @@ def _box_cells(df: DataFrame, tag: str, size: float) -> DataFrame:
 def _polygon_pairs(left: DataFrame, right: DataFrame, predicate: str, left_key: str, right_key: str) -> DataFrame:
     """Key pairs of polygons that satisfy the predicate."""
     size = max(cell_size(left), cell_size(right))
-    a = _box_cells(left.select(F.col(left_key).alias("_lk"), F.col("geometry").alias("a_g")), "a", size)
-    b = _box_cells(right.select(F.col(right_key).alias("_rk"), F.col("geometry").alias("b_g")), "b", size)
+    a = _box_cells(left.select(F.col(left_key).alias("_lk"), "geometry"), "a", size)
+    b = _box_cells(right.select(F.col(right_key).alias("_rk"), "geometry"), "b", size)
     touch = (
         (F.col("a_xmin") <= F.col("b_xmax"))
         & (F.col("b_xmin") <= F.col("a_xmax"))
@@ -301,6 +302,8 @@ def _polygon_pairs(left: DataFrame, right: DataFrame, predicate: str, left_key:
         _slot(F.greatest("a_ymin", "b_ymin"), size) == F.col("cy")
     )
     pairs = salted_join(a, b, ["cx", "cy"], "inner", F.col("_lk"), condition=touch & owner)
+    pairs = pairs.select("_lk", "_rk").join(left.select(F.col(left_key).alias("_lk"), F.col("geometry").alias("a_g")), "_lk")
+    pairs = pairs.join(right.select(F.col(right_key).alias("_rk"), F.col("geometry").alias("b_g")), "_rk")
     ga, gb = F.col("a_g"), F.col("b_g")
     exact = {
         "intersects": lambda: _polygons_intersect(ga, gb),
@@ -349,10 +352,12 @@ def spatial_join(
     clash = {c: f"{c}_right" for c in right.columns if c in left.columns}
     other = right.withColumnsRenamed(clash)
     other_key = clash.get(right_key, right_key)
+    # many rows of one side may share a partner, or have none: the join back to it is spread by the own key
+    pairs = settle(pairs)
     if how == "right":
         out = other.join(pairs, F.col(other_key) == F.col("_rk"), "left").drop("_rk")
-        out = out.join(left.withColumn("_k", F.col(left_key)), F.col("_lk") == F.col("_k"), "left").drop("_lk", "_k")
+        out = salted_join(out, left.withColumn("_lk", F.col(left_key)), ["_lk"], "left", F.col(other_key)).drop("_lk")
     else:
         out = left.join(pairs, F.col(left_key) == F.col("_lk"), how).drop("_lk")
-        out = out.join(other.withColumn("_k", F.col(other_key)), F.col("_rk") == F.col("_k"), "left").drop("_rk", "_k")
+        out = salted_join(out, other.withColumn("_rk", F.col(other_key)), ["_rk"], "left", F.col(left_key)).drop("_rk")
     return out.select(*left.columns, *other.columns)

@@ -195,12 +195,11 @@ def _meet_rows(sources: DataFrame, targets: Targets, closed: list[_Closed], extr
     located = located.select("skey", "sx", "sy", "_q.level", "_q.qx", "_q.qy")
     # The results are grouped by source next. Moving the bare sources first costs the same shuffle, spreads the work of
     # the join evenly, and the grouping needs no further one.
-    partitions = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = sum(c.rows for c in closed)
     sized = [c.pairs.select(F.lit(i).alias("level"), "qx", "qy", F.col("qn").alias("n")) for i, c in enumerate(closed)]
     hot = reduce(DataFrame.unionByName, sized).distinct()
     if rows <= BROADCAST_ROWS:
-        located = located.repartition(partitions, "skey")
+        located = located.repartition("skey")
     return salted_join(
         located, candidates.drop("qn"), ["level", "qx", "qy"], "inner", F.col("skey"), right_rows=rows, hot=hot
     )

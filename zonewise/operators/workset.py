@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 # A key is hot above this many rows; at most total / HOT_ROWS keys can be.
 HOT_ROWS = 1_000_000
+# Rows without a key are dealt over so many groups.
+_KEYLESS = 1024
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -130,7 +132,7 @@ def salted_join(
 
     A right side of at most ``BROADCAST_ROWS`` counted rows is broadcast, so the left side does not move. Otherwise the
     keys with more than ``hot_rows`` left rows are spread: their left rows over several salts taken from ``spread`` (the
-    row key), their right rows copied once per salt. ``hot`` may hand in the key counts (keys + ``n``) if known already.
+    row key), their right rows copied once per salt. Left rows without a key match nothing and are spread as well. ``hot`` may hand in the key counts (keys + ``n``) if known already.
     ``condition`` may refer to columns of both sides.
     """
     if right_rows is not None and right_rows <= BROADCAST_ROWS:
@@ -145,13 +147,17 @@ def salted_join(
     # counts above the threshold: at most rows / hot_rows keys, so their number is counted before it is broadcast
     hot = settle(hot)
     n_hot = hot.count()
+    keyless = F.lit(False)
+    for k in keys:
+        keyless = keyless | F.col(k).isNull()
+    scattered = F.when(keyless, F.pmod(F.xxhash64(spread), F.lit(_KEYLESS)).cast("int"))
     if n_hot == 0:
-        left = left.withColumn("_salt", F.lit(0))
+        left = left.withColumn("_salt", F.coalesce(scattered, F.lit(0)))
         right = right.withColumn("_salt", F.lit(0))
     else:
         hot = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
         left = left.join(hot, keys, "left").withColumn(
-            "_salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_salts")).cast("int"), F.lit(0))
+            "_salt", F.coalesce(scattered, F.pmod(F.xxhash64(spread), F.col("_salts")).cast("int"), F.lit(0))
         ).drop("_salts")
         right = (
             right.join(hot, keys, "left")

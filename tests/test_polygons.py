@@ -114,3 +114,21 @@ def test_salted_join_keeps_every_row(spark, monkeypatch):
     out = workset.salted_join(left, right, ["k"], "left", F.col("id"), hot_rows=30)
     assert out.count() == 1000 and out.filter("v != k * 10").count() == 0
     assert out.columns == ["id", "k", "v"]
+
+
+def test_one_huge_polygon_beside_small_ones(spark):
+    """The cells of the huge one are cut by several tasks, and rows that match nothing are spread in the join back."""
+    rng = np.random.default_rng(8)
+    small = [star(rng, *rng.uniform((34.7, 31.9), (34.9, 32.1)), 0.002) for _ in range(30)]
+    huge = [(34.6, 31.8), (35.0, 31.8), (35.0, 32.2), (34.6, 32.2)]
+    layers = shapes(spark, [geom([r]) for r in [*small, huge]])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so little data is put together again
+    try:
+        grid = polygons.PolygonCells(layers, ["name"], size=0.002)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    per_file = [r["count"] for r in grid.cells.groupBy(F.input_file_name()).count().collect()]
+    assert len(per_file) > 1 and max(per_file) < 0.6 * sum(per_file)
+    points = layer(spark, [(34.8, 32.0), (36.0, 33.0), (36.1, 33.0)])
+    got = spatial_join(points, layers, "left", "within").groupBy("id").count().orderBy("id").collect()
+    assert [r.id for r in got] == [0, 1, 2]

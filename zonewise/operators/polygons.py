@@ -16,7 +16,7 @@ from .workset import salted_join, settle
 CELL_POLYGONS = 64  # cells crossed by the borders of more polygons than this are divided further
 _SPLIT = 8  # a power of two, so that cell numbers of all levels nest exactly
 _MAX_SPLITS = 3
-_WORTHWHILE = 8  # a division that multiplies the rows by more (stacked polygons) does not pay and is left out
+_WORTHWHILE = 8  # a division that multiplies a cell's rows by so much (stacked polygons) does not pay and is left out
 
 
 def cell_size(polygons: DataFrame) -> float:
@@ -113,7 +113,7 @@ class PolygonCells:
                 per_cell = current.groupBy("cx", "cy").agg(
                     F.count_if(~F.col("_inside")).alias("n"), F.count(F.lit(1)).alias("now"), F.sum(_divided(step / _SPLIT)).alias("then")
                 )
-                pays = (F.col("n") > CELL_POLYGONS) & (F.col("then") <= _WORTHWHILE * F.col("now"))
+                pays = (F.col("n") > CELL_POLYGONS) & (F.col("then") < _WORTHWHILE * F.col("now"))
                 crowded = settle(per_cell.filter(pays).select("cx", "cy"))
                 n_crowded = crowded.count()
             if n_crowded == 0:

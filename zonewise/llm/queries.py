@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.workset import Scratch, settle, shared_folder
+from ..operators.workset import Scratch, application_scratch, settle
 from . import chat, decontaminate, licenses, packing, quality, sharding, simhash, suffixes, tokenfiles, topk
 
 
@@ -13,10 +13,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _own_folder(spark: SparkSession, name: str) -> str:
-    return Scratch(spark).folder(name)
-
-
 def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     with Scratch(spark) as scratch:
         return scratch.keep(packing.pack(table(spark, folder, "documents"), scratch))
@@ -51,7 +47,7 @@ def op5_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
-    manifest = tokenfiles.write(table(spark, folder, "documents"), _own_folder(spark, "tokens"), public_tokenizers.path("word_bpe_49k.json"))
+    manifest = tokenfiles.write(table(spark, folder, "documents"), application_scratch(spark).folder(), public_tokenizers.path("word_bpe_49k.json"))
     return tokenfiles.read(settle(manifest))
 
 
@@ -72,7 +68,7 @@ def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
-    placed = sharding.shard(table(spark, folder, "documents"), _own_folder(spark, "shards"))
+    placed = sharding.shard(table(spark, folder, "documents"), application_scratch(spark).folder())
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "next_shard"
     )

@@ -232,8 +232,12 @@ def documents(reader: pa.RecordBatchFileReader):
 
 def read(manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of every document, from the files alone."""
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    listed = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).select("part", "path", "base")
+    # starts of files: sums per thousand files first, so that no task orders all of them
+    files = manifest.withColumn("lot", F.floor(F.col("part") / 1024))
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lots = files.groupBy("lot").agg(F.sum("n_tokens").alias("n_tokens")).select("lot", before(Window.orderBy("lot")).alias("first"))
+    inside = before(Window.partitionBy("lot").orderBy("part"))
+    listed = files.withColumn("inside", inside).join(lots, "lot").select("part", "path", (F.col("first") + F.col("inside")).alias("base"))
 
     def tell(batches):
         for batch in batches:

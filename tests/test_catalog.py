@@ -11,7 +11,7 @@ FOLDER = "/root/testdata/sf0.001"
 CHECKED = [
     "clean_transactions", "clean_parks", "zone_stats", "describe_by_zone", "describe_columns", "points_in_districts", "overlap_fanout",
     "polygons_within", "nearest_polygon", "count_within_inscribed", "score_zones", "scenario_pivot", "validate_zones", "recommendations",
-    "normalise_deals", "normalise_ways", "clip_group_percentiles", "rank_zones",
+    "normalise_deals", "normalise_ways", "clip_group_percentiles", "rank_zones", "csv_points", "mixed_parks", "missing_zones", "fill_missing_zones", "geoparquet_metric", "ridge_scores",
 ]
 
 

@@ -92,14 +92,18 @@ class Scratch:
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``Scratch.settle`` into the application's folder, which stays until ``clear`` or the end of the program."""
-    spark = df.sparkSession
+def application_scratch(spark: SparkSession) -> Scratch:
+    """The application's own folder, which stays until ``clear`` or the end of the program."""
     app = spark.sparkContext.applicationId
     if app not in _roots:
         _roots[app] = Scratch(spark, f"zonewise-{app}")
         atexit.register(_clear_quietly, spark)
-    return _roots[app].settle(df)
+    return _roots[app]
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``Scratch.settle`` into the application's folder."""
+    return application_scratch(df.sparkSession).settle(df)
 
 
 def clear(spark: SparkSession) -> None:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,7 @@ from ..functions.numeric import half_even
 from ..functions.projection import project, unproject
 from ..operators import clean, features, models, proximity, recommend, report, scoring, stats, validate
 from ..operators.polygons import points_in_polygons, spatial_join
-from ..operators.workset import settle, shared_folder
+from ..operators.workset import application_scratch, settle
 from ..settings import STORAGE_CRS
 from ..sources import layers, open_data
 from . import tables as T
@@ -538,7 +537,7 @@ def recommendations(spark, sf):
 
 
 def _fresh(spark, suffix):
-    return f"{shared_folder(spark)}/{uuid.uuid4().hex}{suffix}"
+    return application_scratch(spark).folder() + suffix
 
 
 @query

@@ -528,6 +528,16 @@ def predictive_flow(spark, sf):
     return rows.join(_judged(scores), "name")
 
 
+@query
+def twin_zone_scores(spark, sf):
+    """Two overlaid layers in which every name occurs twice, through features, scoring and prediction."""
+    twins = with_crs(T.zones(spark, sf).unionByName(T.zones(spark, sf, shift=0.02)), STORAGE_CRS)
+    scored = scored_zones(twins, T.transactions(spark, sf), T.transit_stops(spark, sf), T.parks(spark, sf), _names(spark, sf))
+    found = models.ScoreModel(models.Ridge()).fit_transform(settle(scored))
+    in_range = F.col("ml_score").between(0, 100).alias("in_range")
+    return found.select("name", "dist_to_nearest_transit_m", "transit_stops_1km", "neighborhood_score", "rank", in_range)
+
+
 @query
 def recommendations(spark, sf):
     return recommend.recommend(_predicted(spark, sf))

@@ -637,3 +637,21 @@ SQL["mixed_parks"] = statement(
     FROM sound f JOIN foot_ll c ON f.park_id = c.park_id WHERE {POLY_IN_BOX}
     UNION ALL SELECT name, {half_even("lon", 6)}, {half_even("lat", 6)} FROM parks""",
 )
+
+# Two zone layers over each other: names repeat, so rows go by a key of their own.
+TWINS = {
+    **CLEAN,
+    **stats("clean", "neighborhood"),
+    **ZONES,
+    "twins": """SELECT n_nationkey AS zone_id, name, x0, x1, y0, y1 FROM zones
+      UNION ALL SELECT n_nationkey + 100, name, x0 + 0.02E0, x1 + 0.02E0, y0 + 0.02E0, y1 + 0.02E0 FROM zones""",
+    **corners("twins", "zone_id", "twin_corners"),
+    **spatial("zone_id", "twin_corners"),
+    "enriched": """SELECT s.* EXCLUDE (zone_id), z.name, t.* EXCLUDE (name) FROM spatial s JOIN twins z ON s.zone_id = z.zone_id
+      LEFT JOIN stats t ON z.name = t.name""",
+    **{k: SCORED[k] for k in ("filled", "subscores", "weighted", "scored")},
+}
+SQL["twin_zone_scores"] = statement(
+    TWINS,
+    """SELECT name, dist_to_nearest_transit_m, transit_stops_1km, neighborhood_score, "rank", true AS in_range FROM scored""",
+)

@@ -6,7 +6,7 @@ from test_quality_decontamination import words
 from test_simhash import brute as brute_groups
 from zonewise.llm import decontaminate, packing, quality
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER = "/root/testdata/sf0.01"
 
 
 def test_every_stage_equals_its_brute_force(spark, tmp_path):

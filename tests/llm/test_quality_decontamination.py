@@ -2,6 +2,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 
 from zonewise.llm import decontaminate, quality, queries
 
@@ -17,6 +18,19 @@ def test_quality_query_on_held_out_labels(spark):
     assert np.mean([b for a, b in seen if a == 1]) > 0.99 and np.mean([b for a, b in seen if a == 0]) < 0.15
 
 
+def test_fit_keeps_clean_documents_at_every_sample_size():
+    docs = pd.read_parquet("/root/testdata/sf0.1/documents.parquet").iloc[:6000]
+    labels = pd.read_parquet("/root/testdata/sf0.1/labels.parquet").set_index("doc_id").quality
+    y = labels.reindex(docs.doc_id).to_numpy()
+    x = np.stack([quality.features(t) for t in docs.text]).astype(float)
+    rng, test = np.random.default_rng(0), np.arange(len(x)) % 3 == 1
+    good, every = np.flatnonzero((y == 1) & ~test), np.flatnonzero(~test)
+    for n_pos, n_unl, bad_kept in ((30, 60, 1.0), (150, 350, 1.0), (700, 1500, 0.3), (1300, 4000, 0.1)):
+        model = quality.fit(x[rng.permutation(good)[:n_pos]], x[rng.permutation(every)[:n_unl]], 0.86)
+        kept = model.score(x) >= 0.5
+        assert kept[test & (y == 1)].mean() > 0.99 and kept[test & (y == 0)].mean() <= bad_kept
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "a b"), (3, "x " * 50_000), (3, "x " * 50_000)], "doc_id long, text string")
     docs = docs.selectExpr("*", "1 AS x", "true AS trusted", "named_struct('a', 1) AS `odd name`")

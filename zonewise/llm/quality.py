@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 POSITIVES, UNLABELLED = 12_000, 24_000
-BINS, STEPS, RATE, BACK = 16, 250, 0.05, 0.1
+BINS, STEPS, RATE, BOUND, PULL = 16, 250, 0.05, 3.0, 3.0
 
 _kind = np.full(256, 6, np.uint8)  # other symbols
 for _k, _chars in enumerate([range(97, 123), range(65, 91), range(48, 58), b" \t", b"\n\r", b".,;:'\"-()?"]):
@@ -81,34 +81,44 @@ class Model:
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model | None:
-    """Full-batch Adam on the non-negative risk: while the bounded part is negative, its gradient is walked back, discounted by BACK."""
+    """Full-batch Adam with a falling rate; the weights of the least risk met on the way are kept.
+
+    While the bounded part of the risk is negative it counts as zero and only the positive part has a gradient. g is bounded
+    softly to +-BOUND inside the loss, so that a few confident rows cannot outweigh the rest, and a pull to zero of
+    PULL / rows keeps small samples from being learnt by heart.
+    """
     if not len(positive) or not len(unlabelled):
         return None
     both = np.concatenate([positive, unlabelled])
     edges = np.quantile(unlabelled, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T.copy()
     model = Model(edges, np.zeros((both.shape[1], BINS)), 0.0)
     flat = model.bins(both) + np.arange(both.shape[1]) * BINS
-    n_pos, size = len(positive), both.shape[1] * BINS
+    n_pos, size, pull = len(positive), both.shape[1] * BINS, PULL / len(both)
     theta, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     theta[-1] = np.log(prior / (1 - prior)) if 0 < prior < 1 else 0.0
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+    least, kept = np.inf, theta
     for t in range(1, STEPS + 1):
-        g = theta[flat].sum(axis=1) + theta[-1]
+        g = BOUND * np.tanh((theta[flat].sum(axis=1) + theta[-1]) / BOUND)
         gp, gu = g[:n_pos], g[n_pos:]
-        d = np.empty(len(g))
-        if np.logaddexp(0, gu).mean() >= prior * np.logaddexp(0, gp).mean():
-            d[:n_pos] = -prior / n_pos
+        rest = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+        risk = prior * np.logaddexp(0, -gp).mean() + max(0.0, rest) + pull / 2 * (theta[:-1] ** 2).sum()
+        if risk < least:
+            least, kept = risk, theta
+        d = np.zeros(len(g))
+        d[:n_pos] = -prior / n_pos * sigmoid(-gp)
+        if rest >= 0:
+            d[:n_pos] -= prior / n_pos * sigmoid(gp)
             d[n_pos:] = sigmoid(gu) / len(gu)
-        else:
-            d[:n_pos] = BACK * prior / n_pos * sigmoid(gp)
-            d[n_pos:] = -BACK * sigmoid(gu) / len(gu)
+        d *= 1 - (g / BOUND) ** 2
         grad = np.bincount(flat.ravel(), np.repeat(d, flat.shape[1]), size + 1)
         grad[-1] = d.sum()
-        grad[:-1] += theta[:-1] / len(g)  # the fewer rows, the stronger the pull to zero
+        grad[:-1] += pull * theta[:-1]
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad**2
-        theta -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Model(edges, theta[:-1].reshape(-1, BINS), float(theta[-1]))
+        rate = RATE * (1 - (t - 1) / STEPS)
+        theta = theta - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return Model(edges, kept[:-1].reshape(-1, BINS), float(kept[-1]))
 
 
 def held_out(key: Column) -> Column:

@@ -25,7 +25,7 @@ from ..operators.workset import Scratch
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 # Pieces of one length are ranked in cells of about this many.
-CELL_ROWS = 100_000
+CELL_ROWS = 1_000
 
 
 def cost(length: int) -> float:

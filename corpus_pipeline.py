@@ -11,18 +11,28 @@ from zonewise.operators.workset import Scratch, settle
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+# Rows in one batch to a Python worker: texts may be long, and two workers share an executor's memory with the JVM.
+BATCH_ROWS = 2000
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts (score of at least 0.5)."""
+    _small_batches(spark)
     model = quality.train(docs, _table(spark, sf_dir, "labels"))
     return quality.score(docs.select(*COLUMNS), model).filter(F.col("_score") >= 0.5).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of every group linked by SimHash; rows without a doc_id stay."""
+    _small_batches(spark)
     with Scratch(spark) as scratch:
         found = simhash.near_duplicates(docs, scratch)
         # repeated rows of a kept doc_id are copies too: one of them stays
@@ -38,6 +48,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte strings that start earlier; a character cut in part goes whole, an emptied document goes."""
+    _small_batches(spark)
     with Scratch(spark) as scratch:
         found = scratch.keep(suffixes.repeats(docs, scratch))
     rest = suffixes.apply(docs.select(*COLUMNS), found)
@@ -48,6 +59,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    _small_batches(spark)
     leaked = settle(decontaminate.leaks(docs, _table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leaked")).distinct())
     return docs.select(*COLUMNS).join(leaked, F.col("doc_id") == F.col("_leaked"), "left_anti")
 

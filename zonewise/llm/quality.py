@@ -164,14 +164,12 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """All columns of ``docs`` and ``_score``."""
     if model is None:
         return docs.withColumn("_score", F.lit(0.5))
-    rows = docs.withColumn("_text", F.coalesce("text", F.lit("")))
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.stack([features(t.as_py()) for t in batch.column("_text")]).astype(np.float64)
-            kept = batch.drop_columns(["_text"])
-            yield kept.append_column("_score", pa.array(model.score(x)))
+            x = np.stack([features(t.as_py() or "") for t in batch.column("text")]).astype(np.float64)
+            yield batch.append_column("_score", pa.array(model.score(x)))
 
-    return rows.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, _score double")
+    return docs.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, _score double")

@@ -37,7 +37,7 @@ from .bytehash import Rolling, window_minima
 LENGTH, GRAM = 100, 40
 BATCHES = 4
 # A task sorts the entries of about this much text at a time, hashing blocks of the second size.
-SORT_BYTES, BLOCK_BYTES = 24 << 20, 1 << 20
+SORT_BYTES, BLOCK_BYTES = 8 << 20, 1 << 18
 # A gram with more bodies than this in one sort is spread over SALTS scan tasks.
 CROWDED, SALTS = 1000, 64
 
@@ -379,19 +379,19 @@ def kept(body: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
 def apply(docs: DataFrame, found: DataFrame) -> DataFrame:
     """All columns of ``docs``, ``_kept`` (remaining text without the characters that were cut in part) and ``_spans`` (maximal removed runs)."""
     named = found.select(F.col("doc_id").alias("_id"), F.col("spans").alias("_found"))
-    both = docs.join(named, F.col("doc_id") == F.col("_id"), "left").drop("_id").withColumn("_text", F.coalesce("text", F.lit("")))
+    both = docs.join(named, F.col("doc_id") == F.col("_id"), "left").drop("_id")
 
     def run(batches):
         for batch in batches:
             made = []
-            for text, spans in zip(batch.column("_text"), batch.column("_found"), strict=True):
-                body = text.as_py().encode()
+            for text, spans in zip(batch.column("text"), batch.column("_found"), strict=True):
+                body = (text.as_py() or "").encode()
                 if spans.is_valid:
                     places = spans.values.flatten()
                     made.append(kept(body, list(zip(places[0].to_pylist(), places[1].to_pylist(), strict=True))))
                 else:
                     made.append((body, 0))
-            rest = batch.drop_columns(["_text", "_found"])
+            rest = batch.drop_columns(["_found"])
             rest = rest.append_column("_kept", pa.array([m[0].decode(errors="ignore") for m in made], pa.string()))
             yield rest.append_column("_spans", pa.array([m[1] for m in made], pa.int64()))
 

@@ -103,3 +103,19 @@ def test_license_wording_and_edges(spark):
     assert licenses.scan(df.limit(0)).count() == 0
     gains = licenses.Scanner(licenses.TEMPLATES).ranking(gpl)
     assert gains[0][1] == "GPL-3.0" and gains[0][0] > gains[-1][0]
+
+
+def test_license_forms_and_differences(spark):
+    body = licenses._MIT_BODY.replace("hereby", "herewith").replace("\n", "\n * ")
+    rows = [
+        (1, "// SPDX-License-Identifier: MIT"), (2, "SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR Apache-2.0"), (3, "Licensed under the MIT License"), (4, "GPL v3"),
+        (5, "Copyright 2020 A. B.\n\n * " + body), (6, "Released under the very MIT License."), (7, "This work is licensed under a GNU General Public License, version 2."),
+        (8, "GNU Library General Public License, version 2"), (9, "Licensed under CC BY-ND 4.0."), (10, "Neither the name of the copyright holder nor the names of its\ncontributors may be used to endorse or\n"
+         "promote products derived from this\nsoftware without specific prior written permission."), (11, "the limit of permission was admitted"),
+    ]
+    got = sorted((r.doc_id, r.license, r.differences) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [
+        (1, "MIT", ""), (2, "Apache-2.0", ""), (2, "GPL-2.0", ""), (3, "MIT", "-released"), (4, "GPL-3.0", ""), (5, "MIT", "hereby>herewith"), (6, "MIT", "+very"), (7, "GPL-2.0", "the>a"),
+        (10, "BSD-3-Clause", ""),
+    ]
+    assert all(any(licenses._trigger.search(w) for w in f.words) for f in licenses.Scanner(licenses.TEMPLATES, licenses.FORMS).forms)

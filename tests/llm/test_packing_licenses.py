@@ -119,3 +119,10 @@ def test_license_forms_and_differences(spark):
         (10, "BSD-3-Clause", ""),
     ]
     assert all(any(licenses._trigger.search(w) for w in f.words) for f in licenses.Scanner(licenses.TEMPLATES, licenses.FORMS).forms)
+
+
+def test_license_capitals_and_broken_lines(spark):
+    caps = [(k, f"line\n{t.upper()}\nline") for k, t in enumerate(licenses.TEMPLATES.values())]
+    rows = [*caps, (50, "Released\nunder\nthe\nMIT\nLicense."), (51, "x " * 950 + licenses.TEMPLATES["Apache-2.0"].upper()), (52, "SPDX-\nLicense-Identifier"), (53, "licensed  under\n\n\n\n\n\nthe Apache License,\n\n\n\nVersion 2.0")]
+    got = sorted((r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [*enumerate(licenses.TEMPLATES), (50, "MIT"), (51, "Apache-2.0"), (53, "Apache-2.0")]

@@ -101,3 +101,10 @@ def test_decontamination_edges_and_reordered_passages(spark):
         assert sorted((r.doc_id or 0, r.item_id) for r in got) == [(0, 0), (3, 0), (5, 0), (6, 0), (8, 0), (8, 0)]
         assert {r.n_tiles for r in got if r.doc_id == 8} == {3}
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0 and decontaminate.leaks(docs.limit(0), bench).count() == 0
+
+
+def test_long_passages_leak_below_the_coverage(spark):
+    item = [f"word{k}" for k in range(1000)]
+    docs = spark.createDataFrame([(1, " ".join(item[:790])), (2, " ".join(item[100:149])), (3, " ".join(item[300:325] + ["x"] + item[500:525])), (4, "a b")], "doc_id long, text string")
+    got = decontaminate.leaks(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.coverage, r.longest) for r in got) == [(1, 7, 0.79, 790), (3, 7, 0.05, 25)]

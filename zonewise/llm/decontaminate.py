@@ -3,7 +3,8 @@
 Words are runs of letters and digits, lower-cased. A document and a benchmark item that share a seed (five words in a row)
 are tiled: the longest match of unmarked words on both sides becomes a tile, its words are marked, and so on while matches of at
 least five words are left (running Karp-Rabin: candidate matches grow from hashed seeds, longest first). Tiles may come in any
-order, so reordered passages count. An item has leaked into a document if tiles cover at least ``COVERAGE`` of the item's words.
+order, so reordered passages count. An item has leaked into a document if tiles cover at least ``COVERAGE`` of the item's words,
+or, however long the item is, at least ``ENOUGH`` of its words.
 
 The items' seeds go to the tasks in blocks of at most ``BLOCK_WORDS`` words; a larger benchmark takes several passes, so what a
 task holds is bounded. Documents are not shuffled.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .bytehash import Rolling, mix
 
-SEED_WORDS, COVERAGE = 5, 0.8
+SEED_WORDS, COVERAGE, ENOUGH = 5, 0.8, 50
 BLOCK_WORDS = 2_000_000
 _BLOCK_BYTES = 1 << 20
 
@@ -115,8 +116,8 @@ class Block:
         sieve[(flat >> _U(42)).astype(np.int64)] = True
         return cls([i for i, _ in rows], items, flat[order], np.array(item, np.int64)[order], np.array(place, np.int64)[order], sieve)
 
-    def near(self, texts: list[bytes], coverage: float) -> list[tuple[int, int]]:
-        """(text, item) whose shared seeds alone could reach the coverage."""
+    def near(self, texts: list[bytes], coverage: float, enough: int) -> list[tuple[int, int]]:
+        """(text, item) whose shared seeds alone could reach the coverage or the number of words."""
         sizes = np.array([len(t) + 1 for t in texts])
         data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         start, end = _spans(data)
@@ -134,7 +135,7 @@ class Block:
         out, cut = [], np.flatnonzero(np.r_[True, (seeds[1:, :2] != seeds[:-1, :2]).any(axis=1), True])
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             covered = np.minimum(np.diff(seeds[a:b, 2]), SEED_WORDS).sum() + SEED_WORDS
-            if covered >= coverage * len(self.items[seeds[a, 1]]):
+            if covered >= min(coverage * len(self.items[seeds[a, 1]]), enough):
                 out.append((int(seeds[a, 0]), int(seeds[a, 1])))
         return out
 
@@ -151,7 +152,7 @@ def _blocks(benchmark: DataFrame, most: int):
         yield Block.of(rows)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = SEED_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = SEED_WORDS, block_words: int = BLOCK_WORDS, enough: int = ENOUGH) -> DataFrame:
     """doc_id, item_id, coverage, n_tiles, longest for every leaked pair."""
     if least < SEED_WORDS:
         raise ValueError("tiles shorter than a seed cannot be found")
@@ -171,10 +172,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, lea
                         size += len(lot[-1])
                         k += 1
                     found = []
-                    for d, i in block.near(lot, coverage):
+                    for d, i in block.near(lot, coverage, enough):
                         made = tiles(_word.findall(lot[d]), block.items[i], least)
-                        share = sum(n for _, _, n in made) / len(block.items[i])
-                        if share >= coverage:
+                        covered = sum(n for _, _, n in made)
+                        share = covered / len(block.items[i])
+                        if share >= coverage or covered >= enough:
                             found.append((ids[first + d], block.ids[i], share, len(made), made[0][2]))
                     if found:
                         cols = [pa.array(c) for c in zip(*found, strict=True)]

@@ -49,3 +49,17 @@ def test_ties_hot_vectors_and_unfit_rows(spark, monkeypatch):
         assert told(topk.search(topk.build(few, scratch), few, scratch)) == brute(rows[:3], every=1)
         none = topk.whole(df.limit(0))
         assert topk.search(topk.build(none, scratch), none, scratch).count() == 0
+
+
+def test_different_vectors_of_one_id_all_take_part(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k % 150, rng.normal(size=8).astype(np.float32).tolist()) for k in range(300)]
+    whole = [(i, np.floor(64 * np.array(v, np.float64)).astype(np.int64)) for i, v in rows]
+    want = []
+    for q in range(0, 150, 20):
+        scores = sorted((-int(a @ b), i) for j, a in whole if j == q for i, b in whole if i != q)[:20]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+    vectors = topk.whole(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    with Scratch(spark) as scratch:
+        got = topk.search(topk.build(vectors, scratch, 4, 4), vectors.filter("id % 20 = 0"), scratch).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)

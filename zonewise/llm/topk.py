@@ -12,8 +12,9 @@ Vectors are integer here (floor(scale * x)), scores are exact integers. The inde
 expectation) and holds every row.
 
 Defined cases: vectors that are null, empty, of another length than most of the sample's, or hold null or non-finite components
-take no part; ties go to the smaller id; equal vectors under different ids are rows of their own; repeated rows of one id
-count once; a query never finds its own id; fewer than k candidates give fewer rows; an empty table gives none.
+take no part; ties go to the smaller id; equal vectors under different ids are rows of their own, and so are different vectors
+under one id; repeated rows of one id and vector count once; the k best of a query id with several vectors are taken over all
+of them; a query never finds its own id; fewer than k candidates give fewer rows; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -69,7 +70,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 def build(vectors: DataFrame, scratch: Scratch, pivots: int = PIVOTS, rings: int = RINGS, sample: int = SAMPLE):
     """The index of ``whole`` vectors: chunks per ring, the directory of rings, pivots, M^2; None without vectors."""
-    rows = scratch.settle(vectors.dropDuplicates(["id"]))
+    rows = scratch.settle(vectors.dropDuplicates(["id", "v"]))
     n = rows.count()
     drawn = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, sample / max(1, n)) * (1 << 30))) if n > sample else rows
     drawn = drawn.select("v").toArrow().column("v").combine_chunks()
@@ -117,7 +118,7 @@ def search(index, queries: DataFrame, scratch: Scratch, k: int = K) -> DataFrame
     chunks, directory, centers, rings, most, dim = index
     names, inner, outer = directory["ring"].to_numpy(), directory["inner"].to_numpy(), directory["outer"].to_numpy()
     pivot = names // rings
-    asked = queries.dropDuplicates(["id"]).filter(F.size("v") == dim).select("id", "v")
+    asked = queries.dropDuplicates(["id", "v"]).filter(F.size("v") == dim).select("id", "v")
 
     def plan(batches):
         """Per query the rings by their bound on the distance, in order."""

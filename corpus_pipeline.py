@@ -31,19 +31,29 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of every group linked by SimHash; rows without a doc_id stay."""
+    """The document of smallest doc_id of every group linked by SimHash; rows without a doc_id stay.
+
+    Of texts of one group that share its smallest doc_id one stays, the one of smallest hash.
+    """
     _small_batches(spark)
     with Scratch(spark) as scratch:
-        found = simhash.near_duplicates(docs, scratch)
-        # repeated rows of a kept doc_id are copies too: one of them stays
-        gone = scratch.keep(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+        found = scratch.settle(simhash.near_duplicates(docs, scratch, root=True))
+        gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
         again = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again"))
         again = scratch.keep(again)
-    kept = docs.select(*COLUMNS).join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    if again.isEmpty():
-        return kept
-    once = kept.join(again, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, F.col("doc_id") == F.col("_again"), "left_anti").unionByName(once)
+        if again.isEmpty():
+            return docs.select(*COLUMNS).join(scratch.keep(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+        # a repeated doc_id does not tell its texts apart: there the decision is by doc_id and text
+        gone = scratch.keep(gone.join(again, F.col("_gone") == F.col("_again"), "left_anti"))
+        repeated = docs.select(*COLUMNS).join(again, F.col("doc_id") == F.col("_again"), "left_semi")
+        repeated = scratch.keep(repeated.dropDuplicates(["doc_id", "text"]).withColumn("_hash", F.coalesce(F.sha2("text", 256), F.lit(""))))
+        prints = simhash.fingerprints(repeated.select(F.col("doc_id"), "text", "_hash"), keep="_hash")
+        groups = found.join(again, F.col("doc_id") == F.col("_again"), "left_semi").distinct()
+        least = prints.join(groups, ["doc_id", "fp"]).filter("doc_id = component_id")
+        least = scratch.keep(least.groupBy(F.col("doc_id").alias("_id"), "component").agg(F.min("_hash").alias("_least")))
+    stay = repeated.join(least, (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_least")), "left_semi").select(*COLUMNS)
+    once = docs.select(*COLUMNS).join(again, F.col("doc_id") == F.col("_again"), "left_anti")
+    return once.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").unionByName(stay)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +70,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     _small_batches(spark)
-    leaked = settle(decontaminate.leaks(docs, _table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leaked")).distinct())
-    return docs.select(*COLUMNS).join(leaked, F.col("doc_id") == F.col("_leaked"), "left_anti")
+    # whether a document leaks is a matter of its text alone, so rows without a doc_id or with another's are told apart
+    rows = docs.select(*COLUMNS).withColumn("_hash", F.sha2("text", 256))
+    leaked = decontaminate.leaks(rows.select(F.col("_hash").alias("doc_id"), "text"), _table(spark, sf_dir, "benchmark"))
+    leaked = settle(leaked.select(F.col("doc_id").alias("_leaked")).distinct())
+    return rows.join(leaked, F.col("_hash") == F.col("_leaked"), "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,3 +68,16 @@ def test_stages_take_nulls_repeats_and_empty_tables(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = spark.createDataFrame(stage(spark, docs, FOLDER).collect(), stage(spark, docs, FOLDER).schema)
             assert docs.count() <= most
+
+
+def test_stages_decide_by_row_where_ids_are_missing_or_repeated(spark):
+    texts = [" ".join(f"{w}{k}" for k in range(60)) for w in "abcd"]
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").filter("length(text) > 100").first().text
+    rows = [(1, texts[0]), (7, texts[0]), (7, texts[1]), (7, texts[2]), (7, texts[2]), (7, texts[2].upper()), (8, texts[1]), (9, texts[3])]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted((r.doc_id, r.text.lower()) for r in corpus_pipeline.drop_near_duplicates(spark, df, FOLDER).collect())
+    assert kept == [(1, texts[0]), (7, texts[1]), (7, texts[2]), (9, texts[3])]
+    rows = [(None, item), (None, texts[0]), (5, item), (5, texts[1]), (6, None)]
+    df = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], df.schema)
+    kept = {(r.doc_id, r.text) for r in corpus_pipeline.drop_leaked(spark, df, FOLDER).collect()}
+    assert kept == {(None, texts[0]), (5, texts[1]), (6, None)}

@@ -158,6 +158,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, lea
         raise ValueError("tiles shorter than a seed cannot be found")
     out = None
     item_type = benchmark.schema["item_id"].dataType.simpleString()
+    doc_type = "string" if docs.schema["doc_id"].dataType.simpleString() == "string" else "long"
     rows = docs.select("doc_id", "text").filter("text is not null")
     for block in _blocks(benchmark, block_words):
 
@@ -183,10 +184,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, lea
                         yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "coverage", "n_tiles", "longest"]).cast(out_schema)
 
         out_schema = pa.schema(
-            [("doc_id", pa.int64()), ("item_id", pa.int64() if item_type != "string" else pa.string()), ("coverage", pa.float64()), ("n_tiles", pa.int64()), ("longest", pa.int64())]
+            [("doc_id", pa.string() if doc_type == "string" else pa.int64()), ("item_id", pa.int64() if item_type != "string" else pa.string()), ("coverage", pa.float64()), ("n_tiles", pa.int64()), ("longest", pa.int64())]
         )
-        found = rows.mapInArrow(run, f"doc_id long, item_id {'string' if item_type == 'string' else 'long'}, coverage double, n_tiles long, longest long")
+        found = rows.mapInArrow(run, f"doc_id {doc_type}, item_id {'string' if item_type == 'string' else 'long'}, coverage double, n_tiles long, longest long")
         out = found if out is None else out.unionAll(found)
     if out is None:
-        return docs.sparkSession.createDataFrame([], f"doc_id long, item_id {item_type}, coverage double, n_tiles long, longest long")
+        return docs.sparkSession.createDataFrame([], f"doc_id {doc_type}, item_id {item_type}, coverage double, n_tiles long, longest long")
     return out

@@ -50,16 +50,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.bitwise_or.reduce(np.where(2 * ones > n, np.uint64(1) << _bits, np.uint64(0))))
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a long)."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, keep: str | None = None) -> DataFrame:
+    """doc_id and fp (the fingerprint's bits as a long), and a column of strings to be kept beside them."""
+    more = [keep] if keep else []
 
     def run(batches):
         for batch in batches:
             made = np.array([fingerprint((t.as_py() or "").encode(), shingle) for t in batch.column("text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made.view(np.int64))], names=["doc_id", "fp"])
+            cols = [batch.column("doc_id"), pa.array(made.view(np.int64)), *(batch.column(c) for c in more)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "fp", *more])
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *more)
+    return rows.mapInArrow(run, "doc_id long, fp long" + (f", {keep} string" if keep else ""))
 
 
 def anchors(block: Column) -> tuple[Column, Column]:
@@ -191,8 +193,11 @@ def chain_last(batches):
     yield None
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id reachable over links of at most ``threshold`` bits) for every row."""
+def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, root: bool = False) -> DataFrame:
+    """doc_id, fp and component_id (smallest doc_id reachable over links of at most ``threshold`` bits) for every row.
+
+    ``root`` adds a fingerprint that stands for the component: where doc_ids are repeated, components may share their smallest one.
+    """
     if threshold > 3:
         raise ValueError("two blocks with one error each cover at most three differing bits")
     marked = scratch.settle(fingerprints(docs, key, text, shingle))
@@ -202,7 +207,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text
     # every fingerprint's component, then the smallest document of the component
     named = classes.join(groups, classes["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_print = scratch.settle(named.join(least, "component").select("fp", "component_id"))
+    of_print = scratch.settle(named.join(least, "component").select("fp", "component_id", *(["component"] if root else [])))
     if of_print.count() <= BROADCAST_ROWS // 10:
         of_print = F.broadcast(of_print)
-    return marked.join(of_print, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(of_print, "fp").select("doc_id", "fp", "component_id", *(["component"] if root else []))

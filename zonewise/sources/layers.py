@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -27,14 +26,10 @@ POINT_LAYERS = ("transactions", "transit_stops")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """Is there anything at the path? Asks the file system of the path, not the local one."""
-    try:
-        spark.read.format("binaryFile").load(path)
-        return True
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
+    """Is there anything at the path (or behind the pattern)? Asks the file system of the path, without listing what lies there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    return found is not None and len(found) > 0
 
 
 def _coordinates(kind: Column, text: Column) -> dict[str, Column]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.workset import Scratch, application_scratch, settle
-from . import chat, decontaminate, licenses, packing, quality, sharding, simhash, suffixes, tokenfiles, topk
+from . import chat, decontaminate, licenses, packing, quality, sharding, simhash, suffixes, tokencounts, tokenfiles, topk
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -74,6 +74,16 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Against a cache of its own, or a lasting one where ``zonewise.token.cache`` names a shared folder."""
+    import public_tokenizers
+
+    cache = spark.conf.get("zonewise.token.cache", None) or application_scratch(spark).folder()
+    with Scratch(spark) as scratch:
+        counted = scratch.keep(tokencounts.count(table(spark, folder, "documents"), cache, public_tokenizers.path("byte_bpe_50k.json"), scratch))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), "digest")
+
+
 _ALL = (
     op1_best_fit_packing,
     op2_chat_formatting,
@@ -85,6 +95,7 @@ _ALL = (
     op8_top_k,
     op9_license_scan,
     op10_sharding,
+    op13_token_counts,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = {

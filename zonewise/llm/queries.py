@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.workset import Scratch, application_scratch, settle
-from . import chat, decontaminate, licenses, packing, quality, sharding, simhash, suffixes, tokencounts, tokenfiles, topk
+from . import chat, decontaminate, divergence, licenses, packing, quality, sharding, simhash, suffixes, tokencounts, tokenfiles, topk, trie
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -74,6 +74,16 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        return scratch.keep(trie.build(table(spark, folder, "conversations"), scratch))
+
+
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        return scratch.keep(divergence.audit(table(spark, folder, "documents"), scratch))
+
+
 def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Against a cache of its own, or a lasting one where ``zonewise.token.cache`` names a shared folder."""
     import public_tokenizers
@@ -95,6 +105,8 @@ _ALL = (
     op8_top_k,
     op9_license_scan,
     op10_sharding,
+    op11_conversation_trie,
+    op12_source_divergence,
     op13_token_counts,
 )
 QUERIES = {f.__name__: f for f in _ALL}
@@ -111,4 +123,76 @@ WITH x AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
+    "op12_source_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), occurring AS (SELECT id, lang, source, unnest(words) AS term FROM d),
+kept AS (SELECT lang, term FROM occurring GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+counts AS (SELECT lang, source, term, count(*) AS n FROM occurring SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+langs AS (SELECT lang, count(DISTINCT term) AS v, sum(n) AS total FROM counts GROUP BY lang),
+sources AS (
+  SELECT lang, source, coalesce(t.total, 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS total FROM counts GROUP BY lang, source) AS t USING (lang, source)
+), shares AS (
+  SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n,
+    CAST(1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2)) // (s.total + 2 * l.v) AS BIGINT) AS p
+  FROM sources AS s JOIN kept AS k USING (lang) JOIN langs AS l USING (lang) LEFT JOIN counts AS c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term
+), whole AS (
+  SELECT c.lang, c.term, CAST(1 + (CAST(1000000000 AS HUGEINT) * (sum(c.n) + 2)) // (any_value(l.total) + 2 * any_value(l.v)) AS BIGINT) AS q
+  FROM counts AS c JOIN langs AS l USING (lang) GROUP BY c.lang, c.term
+), between AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM shares AS a JOIN shares AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(coalesce(x.value, 0) AS BIGINT) AS value
+  FROM sources AS a JOIN sources AS b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN between AS x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+), terms AS (
+  SELECT s.lang, s.source, s.term AS item, ((s.p - w.q) * (s.p - w.q)) // (s.p + w.q) AS value
+  FROM shares AS s JOIN whole AS w ON s.lang = w.lang AND s.term = w.term WHERE s.n > 0 AND s.p > w.q
+), ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS r FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM terms
+)
+SELECT lang, source, part, item, value, CAST(r AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR r <= 10""",
+    "op11_conversation_trie": """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, xor(4294967295, list_reduce(
+    list_concat([4294967295], list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ord(conv_id::VARCHAR[i])::BIGINT)),
+    lambda crc, byte: list_reduce(
+      list_concat([xor(crc, byte)], list_transform(range(8), lambda i: 0::BIGINT)),
+      lambda x, step: xor(x >> 1, 3988292384 * (x & 1)) + step))) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)
+), head AS (SELECT c.conv_id, t.pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 AND t.pos < c.h),
+taken AS (SELECT conv_id, count(*) AS k FROM head GROUP BY conv_id),
+rebuilt AS (
+  SELECT conv_id, pos, role, text FROM head
+  UNION ALL
+  SELECT t.conv_id, coalesce(k, 0) + t.pos - h, role, text FROM t JOIN c USING (conv_id) LEFT JOIN taken USING (conv_id) WHERE t.pos >= h
+), prefixes AS (
+  SELECT conv_id, pos + 1 AS depth, strlen(text) AS size,
+    sha256(string_agg(length(role) || ':' || length(text) || ':' || role || text, '') OVER (PARTITION BY conv_id ORDER BY pos)) AS key
+  FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c
+), linked AS (
+  SELECT *, lag(key) OVER w AS above, lead(key) OVER w IS NULL AS last FROM prefixes WINDOW w AS (PARTITION BY conv_id ORDER BY depth)
+), nodes AS (
+  SELECT depth, key, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256
+  FROM linked GROUP BY depth, key
+), children AS (SELECT depth - 1 AS depth, above AS key, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+known AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (depth, key)),
+under AS (
+  SELECT p.depth, p.key, count(*) FILTER (k.n_children = 0) AS n_leaves, sum((k.n_convs - 1) * k.size) AS saved_tokens
+  FROM known AS k JOIN prefixes AS p ON p.conv_id = k.conv_id AND p.depth <= k.depth GROUP BY p.depth, p.key
+)
+SELECT k.conv_id, k.depth, u.conv_id AS parent_conv_id, k.n_convs, k.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, k.ends_sha256
+FROM known AS k JOIN under USING (depth, key) LEFT JOIN known AS u ON u.depth = k.depth - 1 AND u.key = k.above""",
 }

@@ -121,6 +121,11 @@ def _clear_quietly(spark: SparkSession) -> None:
         pass
 
 
+def hot_above(rows: int, least: int = 1_000) -> int:
+    """Rows of a key from which it counts as hot in a table of so many rows: no more than 100,000 keys can, so they fit a broadcast."""
+    return max(least, rows // 100_000)
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,

@@ -31,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.workset import BROADCAST_ROWS, Scratch, salted_join
+from ..operators.workset import BROADCAST_ROWS, Scratch, hot_above, salted_join
 from ..sources.layers import exists
 
-# A text that more rows share than this is joined to its count by several tasks.
-HOT_ROWS = 5_000
+# A text that more rows share than this (in a large table: more than a hundred thousandth) is joined to its count by several tasks.
+HOT_ROWS = 500
 # Pieces in one lot of a text, pieces a worker remembers, and the longest it remembers; texts encoded at once in bytes.
 LOT, REMEMBERED, LONGEST, AT_ONCE = 200_000, 500_000, 48, 1 << 20
 
@@ -182,5 +182,5 @@ def count(docs: DataFrame, cache: str, path: str, scratch: Scratch, key: str = "
             append(one_of_each(texts.join(F.broadcast(missing), "digest", "left_semi")), cache, path, tokenizer)
         elif n:
             append(one_of_each(texts).join(missing, "digest", "left_semi"), cache, path, tokenizer)
-    counted = salted_join(keys, stored(spark, cache, tokenizer), ["digest"], "inner", F.col("_at"), hot_rows=HOT_ROWS, hot=copies)
+    counted = salted_join(keys, stored(spark, cache, tokenizer), ["digest"], "inner", F.col("_at"), hot_rows=hot_above(keys.count(), HOT_ROWS), hot=copies)
     return counted.select(F.col(key), F.lower(F.hex("digest")).alias("digest"), "n_bytes", "n_tokens")

@@ -604,6 +604,14 @@ def geojson_round_trip(spark, sf):
     return _area(layers.read_geojson(spark, path, "park_id bigint, name string", lines=True))
 
 
+@query
+def geojson_collection(spark, sf):
+    """One FeatureCollection in one file, read by ranges of 64 KB."""
+    path = _fresh(spark, ".geojson")
+    layers.write_geojson(clean.drop_invalid(T.footprints(spark, sf)).coalesce(1), path, collection=True)
+    return _area(layers.read_geojson(spark, path, "park_id bigint, name string", range_bytes=1 << 16))
+
+
 @query
 def geojson_points(spark, sf):
     path = _fresh(spark, ".geojsonl")

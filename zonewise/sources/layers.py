@@ -13,7 +13,7 @@ from ..functions import geometry as G
 from ..functions.crs import crs_of, to_wgs84, with_crs
 from ..functions.numeric import nan_to_null
 from ..settings import STORAGE_CRS
-from . import wkb
+from . import json_ranges, wkb
 
 # Attribute columns of the four layers.
 SCHEMAS = {
@@ -52,17 +52,28 @@ def _coordinates(kind: Column, text: Column) -> dict[str, Column]:
 
 
 def read_geojson(
-    spark: SparkSession, path, properties: str, points: bool = False, lines: bool = False, crs: str = STORAGE_CRS
+    spark: SparkSession,
+    path,
+    properties: str,
+    points: bool = False,
+    lines: bool = False,
+    crs: str = STORAGE_CRS,
+    range_bytes: int | None = None,
 ) -> DataFrame:
     """Features to rows. ``properties`` is the DDL of the attributes.
 
-    ``lines`` reads one feature per line, which stays splittable; otherwise each file is one FeatureCollection and a
-    large layer should come as many files. Coordinates nest to a depth that depends on the type, hence are read as text.
+    ``lines`` reads one feature per line. Otherwise each file is one FeatureCollection, which is read by byte ranges, many
+    tasks to a large file; only compressed files, and those on a file system that Arrow does not know, are one task's
+    work each. Coordinates nest to a depth that depends on the type, hence are read as text.
     """
-    feature = f"struct<properties:struct<{_nested(properties)}>,geometry:struct<type:string,coordinates:string>>"
+    shape = "struct<type:string,coordinates:string>"
+    feature = f"struct<properties:struct<{_nested(properties)}>,geometry:{shape}>"
     if lines:
-        raw = spark.read.schema(f"properties struct<{_nested(properties)}>, geometry struct<type:string,coordinates:string>").json(path)
+        raw = spark.read.schema(f"properties struct<{_nested(properties)}>, geometry {shape}").json(path)
         raw = raw.filter(F.col("geometry").isNotNull() | F.col("properties").isNotNull())
+    elif all(json_ranges.readable(spark, p) for p in ([path] if isinstance(path, str) else path)):
+        found = json_ranges.array_elements(spark, path, "features", range_bytes)
+        raw = found.select(F.from_json("value", feature).alias("f")).select("f.*")
     else:
         raw = spark.read.schema(f"features array<{feature}>").option("multiLine", True).json(path)
         raw = raw.select(F.explode("features").alias("f")).select("f.*")

@@ -11,6 +11,7 @@ from ..functions import geometry as G
 from ..functions.crs import with_crs
 from ..functions.numeric import half_even, to_number
 from ..settings import STORAGE_CRS
+from . import json_ranges
 
 # Local and canonical names of the places with their centres (lon, lat).
 PLACES = [
@@ -86,13 +87,16 @@ def normalise_deals(raw: DataFrame, key: str | None = None) -> DataFrame:
     )
 
 
-WAYS_DDL = (
-    "elements array<struct<type:string,id:bigint,tags:struct<name:string>,geometry:array<struct<lon:double,lat:double>>>>"
-)
+WAY_DDL = "struct<type:string,id:bigint,tags:struct<name:string>,geometry:array<struct<lon:double,lat:double>>>"
 
+WAYS_DDL = f"elements array<{WAY_DDL}>"
 
-def read_ways(spark: SparkSession, path) -> DataFrame:
-    """Way payloads, one JSON document per file; a large extract should come as many files."""
+
+def read_ways(spark: SparkSession, path, range_bytes: int | None = None) -> DataFrame:
+    """Way payloads, one JSON document per file; a large extract is read by byte ranges like a FeatureCollection."""
+    if all(json_ranges.readable(spark, p) for p in ([path] if isinstance(path, str) else path)):
+        found = json_ranges.array_elements(spark, path, "elements", range_bytes)
+        return found.select(F.array(F.from_json("value", WAY_DDL)).alias("elements"))
     return spark.read.schema(WAYS_DDL).option("multiLine", True).json(path)
 
 

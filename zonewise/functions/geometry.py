@@ -7,12 +7,13 @@ Parquet statistics.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .projection import project_vertices, unproject_vertices
 
+BOUNDS = ("xmin", "ymin", "xmax", "ymax")
 VERTEX_DDL = "struct<x:double,y:double>"
 PARTS_DDL = f"array<array<array<{VERTEX_DDL}>>>"
 GEOMETRY_DDL = f"struct<type:string,parts:{PARTS_DDL}>"
@@ -54,6 +55,11 @@ def bbox(geom: Column) -> dict[str, Column]:
     }
 
 
+def has_bounds(df: DataFrame) -> bool:
+    """Does the layer bring the bounds of its rows along, as a column ``bbox`` of four numbers?"""
+    return "bbox" in df.columns and getattr(df.schema["bbox"].dataType, "names", None) == list(BOUNDS)
+
+
 def _map_rings(geom: Column, fn) -> Column:
     parts = F.transform(geom["parts"], lambda poly: F.transform(poly, fn))
     return F.when(geom.isNotNull(), F.struct(geom["type"].alias("type"), parts.alias("parts")))

@@ -23,9 +23,16 @@ def standardise_columns(df: DataFrame) -> DataFrame:
 
 
 def clip_to_bbox(df: DataFrame, bbox=settings.BBOX, label: str = "layer") -> DataFrame:
-    """Points strictly inside the box, polygons that do not leave it (touching its edge is fine)."""
+    """Points strictly inside the box, polygons that do not leave it (touching its edge is fine).
+
+    Bounds that a layer brings along as ``bbox`` (see ``layers.read_geoparquet``) are filtered first, which reaches the scan: only
+    the rows that are left are decoded and looked at. The column ends here.
+    """
     assert_wgs84(df, label)
     x0, y0, x1, y1 = (F.lit(float(v)) for v in bbox)
+    if G.has_bounds(df):
+        cover = {b: F.col(f"bbox.{b}") for b in G.BOUNDS}
+        df = df.filter((cover["xmin"] <= x1) & (cover["ymin"] <= y1) & (cover["xmax"] >= x0) & (cover["ymax"] >= y0)).drop("bbox")
     if "geometry" in df.columns:
         b = G.bbox(F.col("geometry"))
         return df.filter((b["xmin"] >= x0) & (b["ymin"] >= y0) & (b["xmax"] <= x1) & (b["ymax"] <= y1))

@@ -627,6 +627,14 @@ def geoparquet_round_trip(spark, sf):
     return _area(layers.read_geoparquet(spark, path))
 
 
+@query
+def clip_written_polygons(spark, sf):
+    """The study area out of a written layer: the bounds of the rows are filtered at the scan."""
+    path = _fresh(spark, ".parquet")
+    layers.write_layer(T.footprints(spark, sf), path, row_group_rows=1000)
+    return clean.clip_to_bbox(layers.load_layer(spark, [path], "parks", points=False)).select("park_id")
+
+
 @query
 def geoparquet_points(spark, sf):
     path = _fresh(spark, ".parquet")

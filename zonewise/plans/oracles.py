@@ -624,6 +624,7 @@ SQL["fill_missing_zones"] = """SELECT n_name AS name, CASE WHEN n_nationkey % 3
     CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey END AS n_nationkey FROM nation"""
 _AREAS = f"SELECT f.park_id, name, {half_even('area')} AS area_m2 FROM sound f JOIN foot c ON f.park_id = c.park_id"
 SQL["geojson_round_trip"] = statement(CENTRED, _AREAS)
+SQL["clip_written_polygons"] = SQL["clip_polygons"]
 SQL["geojson_collection"] = statement(CENTRED, _AREAS)
 SQL["geoparquet_round_trip"] = statement(CENTRED, _AREAS)
 _PLACE = f"{half_even('lon', 6)} AS lon, {half_even('lat', 6)} AS lat"

@@ -14,21 +14,20 @@ are cut without the first pass. Only the number of ranges comes to the driver.
 from __future__ import annotations
 
 import re
-from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .stores import open_store, reachable
+
 RANGE_BYTES = 16 << 20
 # Bytes that are read behind a range to see a key and its bracket whole; more tasks than this are never asked for.
 _BESIDE, _TASKS = 1 << 16, 100_000
 # A batch of cut elements goes on at this size.
 _BATCH_BYTES = 4 << 20
 
-_SCHEMES = ("file", "hdfs", "s3", "s3a", "gs", "abfs", "abfss")
 _STEP = np.zeros(256, np.int8)
 _STEP[[ord("{"), ord("[")]] = 1
 _STEP[[ord("}"), ord("]")]] = -1
@@ -40,18 +39,12 @@ _EFFECT = f"path string, k bigint, start bigint, stop bigint, flips int, from_ou
 
 def readable(spark: SparkSession, path: str) -> bool:
     """Can the path be read by ranges: on a file system that Arrow knows, and not compressed?"""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    scheme = at.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme()
-    return scheme in _SCHEMES and not re.search(r"\.(gz|bz2|zst|lz4|snappy|deflate|xz)$", path)
+    return reachable(spark, path) and not re.search(r"\.(gz|bz2|zst|lz4|snappy|deflate|xz)$", path)
 
 
 class _File:
     def __init__(self, path: str):
-        scheme, rest = path.split(":", 1)
-        if scheme == "file":
-            system, at = fs.LocalFileSystem(), "/" + rest.lstrip("/")
-        else:
-            system, at = fs.FileSystem.from_uri(quote(f"{scheme.replace('s3a', 's3')}:{rest}", safe=":/@=+,;"))
+        system, at = open_store(path)
         self.file = system.open_input_file(at)
         self.size = self.file.size()
 

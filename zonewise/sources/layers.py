@@ -13,7 +13,8 @@ from ..functions import geometry as G
 from ..functions.crs import crs_of, to_wgs84, with_crs
 from ..functions.numeric import nan_to_null
 from ..settings import STORAGE_CRS
-from . import json_ranges, wkb
+from ..operators.workset import Scratch
+from . import geoparquet, json_ranges, stores, wkb
 
 # Attribute columns of the four layers.
 SCHEMAS = {
@@ -90,17 +91,34 @@ def _without_nan(df: DataFrame) -> DataFrame:
     return df.withColumns({f.name: nan_to_null(F.col(f.name)) for f in df.schema if f.dataType.typeName() == "double"})
 
 
-def read_geoparquet(spark: SparkSession, path, points: bool = False, column: str = "geometry", crs: str | None = None) -> DataFrame:
+def read_geoparquet(
+    spark: SparkSession, path, points: bool = False, column: str = "geometry", crs: str | None = None, covering: bool = False, bbox=None
+) -> DataFrame:
     """Parquet with a WKB column; the other columns keep their pruning and filters at the scan.
 
     The coordinate system comes from the file; ``crs`` declares it for a file that says nothing, which is refused otherwise.
+    Where the file names a covering, ``bbox`` (in the file's units) keeps the rows whose bounds meet the box, a range
+    filter that skips row groups, and ``covering`` hands the bounds on as column ``bbox``, which ``clean.clip_to_bbox`` uses
+    in the same way. Without a covering ``bbox`` is an error, since nothing could be skipped.
     """
+    told = file_geo(spark, path if isinstance(path, str) else path[0])
+    crs = crs or _declared_crs(told)
     if crs is None:
-        crs = file_crs(spark, path if isinstance(path, str) else path[0])
-        if crs is None:
-            raise ValueError(f"{path} declares no CRS; pass crs= to declare it")
+        raise ValueError(f"{path} declares no CRS; pass crs= to declare it")
     raw = spark.read.parquet(path) if isinstance(path, str) else spark.read.parquet(*path)
-    attributes = [c for c in raw.columns if c != column]
+    cover = _covering(told)
+    attributes = [c for c in raw.columns if c != column and not (cover and c == cover["xmin"][0])]
+    if bbox is not None:
+        if not cover:
+            raise ValueError(f"{path} has no covering to select by")
+        x0, y0, x1, y1 = (float(v) for v in bbox)
+        at = {b: F.col(".".join(f"`{p}`" for p in cover[b])) for b in G.BOUNDS}
+        raw = raw.filter((at["xmin"] <= x1) & (at["ymin"] <= y1) & (at["xmax"] >= x0) & (at["ymax"] >= y0))
+    if covering and cover and crs == STORAGE_CRS and "bbox" not in attributes:
+        # plain fields of the column, so that filters on them stay filters at the scan
+        kept = cover["xmin"][0]
+        raw = raw if kept == "bbox" else raw.withColumnRenamed(kept, "bbox")
+        attributes = [*attributes, "bbox"]
     if points:
         df = raw.select(*attributes, wkb.to_point(F.col(column)).alias("_p")).select(*attributes, "_p.lon", "_p.lat")
     else:
@@ -128,8 +146,8 @@ def read_points_csv(
     return to_wgs84(_without_nan(df.withColumnsRenamed({lon: "lon", lat: "lat"})), crs)
 
 
-def file_crs(spark: SparkSession, path: str) -> str | None:
-    """The coordinate system a GeoParquet file declares: beside it as ``_geo``, or in the footer of one of its files."""
+def file_geo(spark: SparkSession, path: str) -> dict | None:
+    """The ``geo`` entry of a GeoParquet layer: in the footer of one of its files, or beside them as ``_geo``."""
     if exists(spark, f"{path}/_geo"):
         geo = "".join(r[0] for r in spark.read.text(f"{path}/_geo").collect())  # one line
     else:
@@ -145,17 +163,32 @@ def file_crs(spark: SparkSession, path: str) -> str | None:
             geo = reader.getFooter().getFileMetaData().getKeyValueMetaData().get("geo")
         finally:
             reader.close()
-    if not geo:
+    return json.loads(geo) if geo else None
+
+
+def file_crs(spark: SparkSession, path: str) -> str | None:
+    """The coordinate system a GeoParquet file declares."""
+    return _declared_crs(file_geo(spark, path))
+
+
+def _declared_crs(told: dict | None) -> str | None:
+    if not told:
         return None
-    told = json.loads(geo)
-    column = told["columns"][told["primary_column"]]
-    crs = column.get("crs", STORAGE_CRS)  # the format's default is longitude and latitude in degrees
+    crs = told["columns"][told["primary_column"]].get("crs", STORAGE_CRS)  # the format's default is longitude and latitude in degrees
     if isinstance(crs, dict):
         known = crs.get("id") or {}
         crs = f"{known.get('authority')}:{known.get('code')}"
     return STORAGE_CRS if crs == "OGC:CRS84" else crs
 
 
+def _covering(told: dict | None) -> dict | None:
+    """Paths of the four bounds, where they are fields of one struct column."""
+    cover = told and told["columns"][told["primary_column"]].get("covering", {}).get("bbox")
+    if not cover or len({tuple(cover[b][:1]) for b in G.BOUNDS}) != 1 or any(cover[b][1:] != [b] for b in G.BOUNDS):
+        return None
+    return cover
+
+
 def load_layer(spark: SparkSession, paths: list[str], layer: str, points: bool | None = None, crs: str | None = None) -> DataFrame:
     """The first of the paths that exists, read by its suffix. Text formats are in degrees unless ``crs`` says otherwise."""
     points = layer in POINT_LAYERS if points is None else points
@@ -163,7 +196,7 @@ def load_layer(spark: SparkSession, paths: list[str], layer: str, points: bool |
         if not exists(spark, path):
             continue
         if path.rstrip("/").endswith(".parquet"):
-            return read_geoparquet(spark, path, points, crs=crs)
+            return read_geoparquet(spark, path, points, crs=crs, covering=True)
         if path.rstrip("/").endswith(".csv"):
             return read_points_csv(spark, path, f"{SCHEMAS[layer]}, lon double, lat double", crs=crs or STORAGE_CRS)
         lines = path.rstrip("/").endswith((".geojsonl", ".ndjson"))
@@ -171,25 +204,31 @@ def load_layer(spark: SparkSession, paths: list[str], layer: str, points: bool |
     raise FileNotFoundError(f"{layer}: none of {paths} exists")
 
 
-def write_layer(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """GeoParquet: geometry as WKB. The file metadata is out of reach of the writer, so it lies beside as ``_geo``."""
+def write_layer(df: DataFrame, path: str, mode: str = "errorifexists", row_group_rows: int = geoparquet.ROW_GROUP_ROWS) -> None:
+    """GeoParquet: geometry as WKB, bounds of every row, rows in the order of a space-filling curve.
+
+    The ``geo`` entry lies in the footer of every file, and the layer appears as a whole or not at all. On a file system that
+    Arrow does not know, Spark writes the files and the entry lies beside them as ``_geo``.
+    """
     spark = df.sparkSession
     crs = crs_of(df)
     if crs is None:
         raise ValueError("layer has no CRS; declare it before writing")
-    if "geometry" in df.columns:
-        out = df.withColumn("geometry", wkb.from_geometry(F.col("geometry")))
-        types = ["Point", "Polygon", "MultiPolygon"]
-    else:
-        out = df.withColumn("geometry", wkb.from_point(F.col("lon"), F.col("lat"))).drop("lon", "lat")
-        types = ["Point"]
-    out.write.mode(mode).parquet(path)
-    geo = {
-        "version": "1.0.0",
-        "primary_column": "geometry",
-        "columns": {"geometry": {"encoding": "WKB", "geometry_types": types, "crs": crs}},
-    }
-    spark.createDataFrame([(json.dumps(geo),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_geo")
+    if mode not in ("errorifexists", "error", "overwrite", "append", "ignore"):
+        raise ValueError(f"unknown mode {mode}")
+    if mode in ("errorifexists", "error", "ignore") and exists(spark, path):
+        if mode == "ignore":
+            return
+        raise FileExistsError(path)
+    with Scratch(spark) as scratch:
+        # settled, since ordering reads it twice, and the layer may be read from the path it replaces
+        rows = scratch.settle(geoparquet.encoded(df))
+        if stores.reachable(spark, path):
+            geoparquet.write(rows, stores.full(spark, path), crs, mode == "overwrite", row_group_rows)
+            return
+        geoparquet.in_curve_order(rows, crs).write.mode("overwrite" if mode == "overwrite" else "append").parquet(path)
+    geo = json.dumps(geoparquet.geo_entry(crs))
+    spark.createDataFrame([(geo,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_geo")
 
 
 def _geojson_shape(df: DataFrame) -> Column:

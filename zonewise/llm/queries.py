@@ -165,9 +165,9 @@ WITH t AS (
   FROM conversations WHERE conv_id IS NOT NULL
 ), c AS (
   SELECT conv_id, xor(4294967295, list_reduce(
-    list_concat([4294967295], list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ord(conv_id::VARCHAR[i])::BIGINT)),
+    list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1), lambda i: CAST(ord(substr(CAST(conv_id AS VARCHAR), i, 1)) AS BIGINT))),
     lambda crc, byte: list_reduce(
-      list_concat([xor(crc, byte)], list_transform(range(8), lambda i: 0::BIGINT)),
+      list_concat([xor(crc, byte)], list_transform(range(8), lambda i: CAST(0 AS BIGINT))),
       lambda x, step: xor(x >> 1, 3988292384 * (x & 1)) + step))) % 9 AS h
   FROM (SELECT DISTINCT conv_id FROM t)
 ), head AS (SELECT c.conv_id, t.pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 AND t.pos < c.h),

@@ -111,3 +111,35 @@ def test_guard(spark):
     bare = spark.createDataFrame([(1, 34.8, 32.0)], "id long, lon double, lat double")
     with pytest.raises(ValueError):
         nearest_distance(bare, bare, "d", "id")
+
+
+@pytest.mark.parametrize("deep", [False, True])
+def test_a_search_sums_up_each_layer_once(spark, deep, monkeypatch):
+    """Levels come from one scan; beyond it only the rows of nodes that are still open are read, fewer each time."""
+    scans, plain = [], proximity._Pyramid._of_rows
+
+    def counted(self, level):
+        scans.append((self.node[0], level - self.base, self.rows.count()))
+        return plain(self, level)
+
+    monkeypatch.setattr(proximity._Pyramid, "_of_rows", counted)
+    rng = np.random.default_rng(11)
+    s = layer(spark, np.column_stack([rng.uniform(34.7, 34.95, 500), rng.uniform(31.9, 32.2, 500)]))
+    spots = np.column_stack([rng.uniform(34.7, 34.95, 4000), rng.uniform(31.9, 32.2, 4000)])
+    if deep:  # a quarter of the targets within two metres, some of the sources beside them
+        spots[:1000] = [34.8, 32.0] + rng.uniform(-1e-5, 1e-5, (1000, 2))
+        s = layer(spark, np.vstack([[34.8, 32.0] + rng.uniform(-1e-5, 1e-5, (20, 2)), metres_free(s)]))
+    t = layer(spark, spots)
+    want = brute(spark, s, t).min(axis=1)
+    got = {r.id: r.d for r in nearest_distance(s, t, "d", "id").collect()}
+    assert np.abs(np.array([got[i] for i in range(len(want))]) - want).max() < 0.051
+    for side, rows in (("qx", s.count()), ("tx", t.count())):
+        read = [(level, n) for node, level, n in scans if node == side]
+        assert read[0] == (0, rows)
+        assert [level for level, _ in read] == list(range(len(read))) and (len(read) > 2) == deep
+        beyond = [n for _, n in read[1:]]
+        assert beyond == sorted(beyond, reverse=True) and all(n < rows / 2 for n in beyond)
+
+
+def metres_free(df):
+    return np.array([(r.lon, r.lat) for r in df.orderBy("id").collect()])

@@ -1,6 +1,6 @@
 """Nearest distance and counts within a radius, both by matching grid nodes before any row meets another row.
 
-Sources and targets are summed up per grid node (count and tight bounds). Node pairs that cannot matter are dropped,
+Sources and targets are summed up per grid node (count and tight bounds), in one scan for all levels (``_Pyramid``). Node pairs that cannot matter are dropped,
 pairs that count as a whole are added up, and only where many targets are left in a node is that neighbourhood divided
 further. Rows meet at the end, inside small node neighbourhoods. Results are exact for any distribution of the points.
 """
@@ -78,18 +78,14 @@ class Targets:
         dx, dy = sx - F.col("tx1"), sy - F.col("ty1")
         return dx * dx + dy * dy
 
-    def nodes(self, grid: "_Grid") -> DataFrame:
-        tx, ty = grid.slots(*self.anchor)
-        least = lambda cols: F.min(cols[0] if len(cols) == 1 else F.least(*cols))
-        most = lambda cols: F.max(cols[0] if len(cols) == 1 else F.greatest(*cols))
-        return self.items.groupBy(tx.alias("tx"), ty.alias("ty")).agg(
-            F.count(F.lit(1)).alias("tn"),
-            F.sum("weight").alias("tw"),
-            least(self.x).alias("tx0"),
-            most(self.x).alias("tx1"),
-            least(self.y).alias("ty0"),
-            most(self.y).alias("ty1"),
-        )
+    def pyramid(self, grid: "_Grid", base: int) -> "_Pyramid":
+        least = lambda cols: cols[0] if len(cols) == 1 else F.least(*cols)
+        most = lambda cols: cols[0] if len(cols) == 1 else F.greatest(*cols)
+        held = {
+            "tn": (F.sum, F.lit(1)), "tw": (F.sum, F.col("weight")),
+            "tx0": (F.min, least(self.x)), "tx1": (F.max, most(self.x)), "ty0": (F.min, least(self.y)), "ty1": (F.max, most(self.y)),
+        }
+        return _Pyramid(self.items, self.anchor, grid, base, ("tx", "ty"), held, self.coords[0])
 
 
 class _Grid:
@@ -121,15 +117,56 @@ class Sources:
         self.n, self.bounds = b[0], b[1:]
 
 
-def _source_nodes(sources: DataFrame, grid: _Grid) -> DataFrame:
-    qx, qy = grid.slots(F.col("sx"), F.col("sy"))
-    return sources.groupBy(qx.alias("qx"), qy.alias("qy")).agg(
-        F.count(F.lit(1)).alias("qn"),
-        F.min("sx").alias("qx0"),
-        F.max("sx").alias("qx1"),
-        F.min("sy").alias("qy0"),
-        F.max("sy").alias("qy1"),
-    )
+class _Pyramid:
+    """What the nodes of one layer hold, on every level of a family of nested grids, from one scan of the rows.
+
+    The scan sums up one level, ``base``; coarser levels are added up from its nodes, never from rows again. Finer ones are
+    needed only where a search is still open beyond the base: those rows are set apart and every further level reads and
+    thins out what the one before has left.
+    """
+
+    def __init__(self, rows: DataFrame, place: tuple[Column, Column], grid: _Grid, base: int, node: tuple[str, str], held: dict, spread: str):
+        """``held`` maps a summary to its aggregate and the value it takes of a row; ``spread`` is a column that differs within a node."""
+        self.rows, self.place, self.grid, self.base, self.node, self.held, self.spread = rows, place, grid, base, node, held, spread
+        self.summary = settle(self._of_rows(base))
+
+    def _at(self, level: int) -> _Grid:
+        return _Grid(self.grid.x0, self.grid.y0, self.grid.size / _FAN**level)
+
+    def _of_rows(self, level: int) -> DataFrame:
+        keys = [c.alias(n) for c, n in zip(self._at(level).slots(*self.place), self.node, strict=True)]
+        return self.rows.groupBy(*keys).agg(*[how(value).alias(c) for c, (how, value) in self.held.items()])
+
+    def level(self, level: int, open_pairs: DataFrame | None) -> DataFrame:
+        """Nodes of a level; beyond the base only children of nodes in ``open_pairs``, which are pairs of the level above."""
+        if level == self.base:
+            return self.summary
+        if level < self.base:
+            up = _FAN ** (self.base - level)
+            keys = [F.floor(F.col(n) / up).alias(n) for n in self.node]
+            return self.summary.groupBy(*keys).agg(*[how(c).alias(c) for c, (how, _) in self.held.items()])
+        still = settle(open_pairs.select(*self.node).distinct())
+        above = dict(zip(self.node, self._at(level - 1).slots(*self.place), strict=True))
+        kept = self.rows.withColumns({f"_{n}": c for n, c in above.items()})
+        still = still.withColumnsRenamed({n: f"_{n}" for n in self.node})
+        keys = [f"_{n}" for n in self.node]
+        self.rows = settle(salted_join(kept, still, keys, "inner", F.col(self.spread), right_rows=still.count()).drop(*keys))
+        return self._of_rows(level)
+
+
+def _source_pyramid(sources: DataFrame, grid: _Grid, base: int) -> _Pyramid:
+    x, y = F.col("sx"), F.col("sy")
+    held = {"qn": (F.sum, F.lit(1)), "qx0": (F.min, x), "qx1": (F.max, x), "qy0": (F.min, y), "qy1": (F.max, y)}
+    return _Pyramid(sources, (x, y), grid, base, ("qx", "qy"), held, "skey")
+
+
+def _base(grid: _Grid, targets: Targets) -> int:
+    """The level on which evenly spread targets would be few enough per node for the search to end."""
+    x0, y0, x1, y1 = targets.bounds
+    level, size = 0, grid.size
+    while ((x1 - x0) / size + 1) * ((y1 - y0) / size + 1) < 4 * targets.n / NODE_TARGETS and size / _FAN >= _FINEST_M:
+        level, size = level + 1, size / _FAN
+    return level
 
 
 def _between(nodes: Column | str = "") -> tuple[Column, Column]:
@@ -213,9 +250,11 @@ def _nearest_points(side: Sources, targets: Targets) -> DataFrame:
     x0, y0 = min(b[0], targets.bounds[0]), min(b[1], targets.bounds[1])
     side = max(b[2] - x0, targets.bounds[2] - x0, b[3] - y0, targets.bounds[3] - y0, 1.0)
     size = 2.0 ** math.ceil(math.log2(side / _FIRST))
-    grid, open_pairs, closed = _Grid(x0, y0, size), None, []
+    grid, open_pairs, closed, level = _Grid(x0, y0, size), None, [], 0
+    base = _base(grid, targets)
+    source_nodes, target_nodes = _source_pyramid(sources, grid, base), targets.pyramid(grid, base)
     while True:
-        q, t = _source_nodes(sources, grid), targets.nodes(grid)
+        q, t = source_nodes.level(level, open_pairs), target_nodes.level(level, open_pairs)
         if open_pairs is None:
             # at most 17 x 17 nodes a side on the first level, whatever the data
             pairs = q.withColumn("_all", F.lit(0)).join(t.withColumn("_all", F.lit(0)), "_all").drop("_all")
@@ -234,7 +273,7 @@ def _nearest_points(side: Sources, targets: Targets) -> DataFrame:
         open_pairs = _split_off(pairs, grid, closed)
         if open_pairs is None:
             break
-        grid = grid.finer()
+        grid, level = grid.finer(), level + 1
     met = _meet_rows(sources, targets, closed, [])
     return met.groupBy("skey").agg(F.min(targets.distance2()).alias("d2"))
 
@@ -333,10 +372,12 @@ def _reachable(sources: DataFrame, targets: Targets, radii: dict[str, float], ci
     values = list(radii.values())
     reach = max(values)
     sure = math.cos(math.pi / _POLYGON_ARCS) if circle == "polygon64" else 1.0
-    grid, open_pairs, closed = _Grid(targets.bounds[0], targets.bounds[1], reach), None, []
+    grid, open_pairs, closed, level = _Grid(targets.bounds[0], targets.bounds[1], reach), None, [], 0
+    base = _base(grid, targets)
+    source_nodes, target_nodes = _source_pyramid(sources, grid, base), targets.pyramid(grid, base)
     adds = [f"add_{i}" for i in range(len(values))]
     while True:
-        q, t = _source_nodes(sources, grid), targets.nodes(grid)
+        q, t = source_nodes.level(level, open_pairs), target_nodes.level(level, open_pairs)
         if open_pairs is None:
             step = F.sequence(F.lit(-1), F.lit(1))
             around = t.withColumn("_dx", F.explode(step)).withColumn("_dy", F.explode(step))
@@ -373,4 +414,4 @@ def _reachable(sources: DataFrame, targets: Targets, radii: dict[str, float], ci
         open_pairs = _split_off(pairs, grid, closed)
         if open_pairs is None:
             return closed
-        grid = grid.finer()
+        grid, level = grid.finer(), level + 1

@@ -117,3 +117,26 @@ def test_recommendations_take_the_first_rule(spark):
     assert got == [("far_park", FAR_PARK), ("pricey", HIGH_PRICE), ("few", FEW_STOPS), ("rest", OTHER)]
     assert recommend(df.withColumn("ml_score", F.lit(5.0))).count() == 0
     assert recommend(df.select("name", "ml_score")).filter(F.col("recommendation") != OTHER).count() == 0
+
+
+def test_tree_queries_return_scores_in_range_with_their_ranks(spark):
+    """What must hold of rows that SQL cannot compute."""
+    import __spark_entry__ as entry
+
+    folder = "/root/testdata/sf0.001"
+    out = entry.queries()["ml_scores"](spark, folder).toPandas()
+    assert len(out) == 25 and out.ml_score.between(0, 100).all() and (out.ml_score * 10 % 1).abs().max() < 1e-6
+    assert (out.ml_rank == [1 + (out.ml_score > s).sum() for s in out.ml_score]).all()
+    # a fitted forest lies closer to the scores than their mean does, and orders the zones alike
+    gap = (out.ml_score - out.neighborhood_score).abs().mean()
+    assert gap < 0.6 * (out.neighborhood_score - out.neighborhood_score.mean()).abs().mean()
+    assert out.ml_score.corr(out.neighborhood_score, "spearman") > 0.8
+    top = entry.queries()["importances"](spark, folder).toPandas()
+    assert len(top) == 8 and top.importance.is_monotonic_decreasing and 0.5 < top.importance.sum() <= 1 + 1e-9
+    assert set(top.feature) <= {*models.RAW_FEATURES, "transit_composite", "park_composite", "centroid_x", "centroid_y"}
+
+
+def test_comparison_is_ordered_and_measured_by_the_same_folds(table):
+    found = models.CANDIDATES["Gradient Boosting"](table, NAMES, 3), models.CANDIDATES["Baseline (mean)"](table, NAMES, 3)
+    boosted, mean = (models.metrics(p, "m", 3).first() for p in found)
+    assert boosted.mae < mean.mae and boosted.cv == "3" and boosted.r2_pooled > mean.r2_pooled

@@ -138,6 +138,19 @@ def loo_ridge(table: DataFrame, names: list[str], target: str = TARGET, alpha: f
     )
 
 
+class Fitted:
+    """Fitted Spark ML stages behind the scaling of their columns; called with a table it adds the prediction ``_p``."""
+
+    def __init__(self, stages, scale: dict[str, float], shift: float = 0.0, importances: dict[str, float] | None = None):
+        self.stages, self.scale, self.shift, self.importances = stages, scale, shift, importances
+
+    def scaled(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({f"_z_{c}": F.col(c) / F.lit(v) for c, v in self.scale.items()})
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return self.stages.transform(self.scaled(df)).withColumn("_p", F.col("_p") + F.lit(self.shift))
+
+
 class Ridge:
     """Ridge regression on columns scaled to unit population deviation, with the penalty of the plain sum of squares."""
 
@@ -157,9 +170,9 @@ class Ridge:
             featuresCol="_x", labelCol=target, predictionCol="_p", solver="normal", standardization=False, regParam=strength
         )
         assembler = VectorAssembler(inputCols=[f"_z_{c}" for c in scale], outputCol="_x")
-        zs = lambda df: df.withColumns({f"_z_{c}": F.col(c) / F.lit(v) for c, v in scale.items()})
-        model = Pipeline(stages=[assembler, solver]).fit(zs(data))
-        return lambda df: model.transform(zs(df)), None
+        zs = Fitted(None, scale).scaled
+        fitted = Fitted(Pipeline(stages=[assembler, solver]).fit(zs(data)), scale)
+        return fitted, None
 
 
 class Trees:
@@ -178,7 +191,7 @@ class Trees:
         importances = getattr(model.stages[-1], "featureImportances", None)
         if importances is not None:
             importances = dict(zip(names, (float(v) for v in importances.toArray())))
-        return lambda df: model.transform(df).withColumn("_p", F.col("_p") + F.lit(shift)), importances
+        return Fitted(model, {}, shift, importances), importances
 
     def _columns(self):
         e = self.estimator
@@ -197,6 +210,10 @@ def gradient_boosting() -> Trees:
     return Trees(GBTRegressor(maxIter=50, maxDepth=2, stepSize=0.1, seed=42), centred=True)
 
 
+# The regressions by name.
+KINDS = {"random_forest": random_forest, "gradient_boosting": gradient_boosting, "ridge": Ridge}
+
+
 class Mean:
     """Predicts the mean of the rows it was fitted on."""
 
@@ -262,6 +279,8 @@ CANDIDATES = {
     "Gradient Boosting": lambda table, names, cv: cross_validate(gradient_boosting(), table, names, cv),
 }
 
+LINEAR = {name: CANDIDATES[name] for name in ("Baseline (mean)", "Ridge Regression")}
+
 
 def compare_models(zones: DataFrame, cv: str | int = "loo", candidates=CANDIDATES) -> DataFrame:
     """Error of each model under the same cross-validation ("loo" or a number of folds), best first."""
@@ -295,6 +314,21 @@ class ScoreModel:
         self._names: list[str] = []
         self._importances: dict[str, float] | None = None
 
+    @classmethod
+    def of(cls, fitted: Fitted, names: list[str]) -> "ScoreModel":
+        """A model that has been fitted before."""
+        model = cls()
+        model._predict, model._names, model._importances = fitted, list(names), fitted.importances
+        return model
+
+    @property
+    def fitted(self):
+        return self._predict
+
+    @property
+    def names(self) -> list[str]:
+        return self._names
+
     def fit(self, zones: DataFrame) -> "ScoreModel":
         _labelled(zones)
         table, self._names = features(zones)
@@ -326,12 +360,12 @@ class ScoreModel:
         return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def run(scored: DataFrame, cv: str | int = "loo") -> dict[str, DataFrame]:
-    """Model comparison, predicted scores, recommendations and importances of scored zones."""
-    model = ScoreModel()
+def run(scored: DataFrame, cv: str | int = "loo", model=None, candidates=CANDIDATES) -> dict[str, DataFrame | None]:
+    """Model comparison, predicted scores, recommendations and importances (None for a model without them) of scored zones."""
+    model = ScoreModel(model)
     predicted = settle(model.fit_transform(scored))
     return {
-        "comparison": compare_models(scored, cv),
+        "comparison": compare_models(scored, cv, candidates),
         "scores": predicted.select("name", TARGET, "ml_score", "ml_rank"),
         "recommendations": recommend(predicted),
         "importances": model.importances(scored.sparkSession),

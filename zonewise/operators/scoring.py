@@ -22,6 +22,7 @@ from .workset import BROADCAST_ROWS, settle
 REQUIRED = ["avg_price", "dist_to_nearest_transit_m", "dist_to_nearest_park_m", "transit_stops_500m", "parks_1km"]
 SUBSCORES = ["score_affordability", "score_transit", "score_parks"]
 _F = ["_price", "_transit", "_park"]
+LIMITS = [f"{f}_{m}" for f in _F for m in ("min", "max")]
 
 
 @dataclass(frozen=True)
@@ -78,19 +79,21 @@ def _features(df: DataFrame) -> DataFrame:
 def rank_by(df: DataFrame, score: str, rank: str = "rank") -> DataFrame:
     """Competition rank, highest first; NULL scores get no rank.
 
-    Equal scores are counted, the counts are sorted by range over all tasks, and only the sums per task (one row each) are
-    added up in one place; the rank is joined back on the score, by broadcast if the counted ranks are few.
+    Equal scores are counted. If the counted scores are few, one window adds them up and the ranks are broadcast; else they are
+    sorted by range over all tasks, only the sums per task (one row each) meet in one place, and the rank is joined on the score.
     """
-    counts = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = settle(df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_n")))
+    if counts.count() <= BROADCAST_ROWS:
+        better = F.sum("_n").over(Window.orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1))
+        ranks = counts.select("_s", (F.coalesce(better, F.lit(0)) + 1).cast("int").alias(rank))
+        return df.join(F.broadcast(ranks), F.col(score) == F.col("_s"), "left").drop("_s")
     ranged = settle(counts.repartitionByRange(F.desc("_s")).withColumn("_task", F.spark_partition_id()))
     above = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    tasks = ranged.groupBy("_task").agg(F.sum("_n").alias("_in"), F.count(F.lit(1)).alias("_rows"))
-    tasks = settle(tasks.withColumn("_before", F.coalesce(F.sum("_in").over(above), F.lit(0))))
-    n = tasks.agg(F.sum("_rows")).first()[0] or 0
+    tasks = ranged.groupBy("_task").agg(F.sum("_n").alias("_in"))
+    tasks = tasks.withColumn("_before", F.coalesce(F.sum("_in").over(above), F.lit(0)))
     inside = Window.partitionBy("_task").orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)
     place = F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)) + 1
     ranks = ranged.join(F.broadcast(tasks.select("_task", "_before")), "_task").select("_s", place.cast("int").alias(rank))
-    ranks = F.broadcast(ranks) if n <= BROADCAST_ROWS else ranks
     return df.join(ranks, F.col(score) == F.col("_s"), "left").drop("_s")
 
 
@@ -121,7 +124,7 @@ class SuitabilityModel:
                 SUBSCORES[2]: half_even(scaled[2], 4),
             }
         )
-        return df.drop(*_F, *[f"{f}_{m}" for f in _F for m in ("min", "max")])
+        return df.drop(*_F, *LIMITS)
 
     def transform(self, zones: DataFrame) -> DataFrame:
         w = self.weights
@@ -175,16 +178,22 @@ def weight_table(spark, scenarios: dict[str, tuple[float, float, float]] = setti
     return spark.createDataFrame(rows, "scenario string, w_a double, w_t double, w_p double")
 
 
-def score_scenarios(zones: DataFrame, scenarios: dict[str, tuple[float, float, float]] = settings.SCENARIOS) -> DataFrame:
-    """One score per zone and scenario, from a single scaling pass."""
+def score_scenarios(
+    zones: DataFrame, scenarios: dict[str, tuple[float, float, float]] = settings.SCENARIOS, keep: tuple[str, ...] = ("name",)
+) -> DataFrame:
+    """One score per zone and scenario, from a single scaling pass; ``keep`` names the columns that tell zones apart."""
     table = weight_table(zones.sparkSession, scenarios)
     scaled = SuitabilityScorer().fit(zones).subscores(zones)
     return scaled.crossJoin(F.broadcast(table)).select(
-        "name", "scenario", _weighted(F.col("w_a"), F.col("w_t"), F.col("w_p")).alias("neighborhood_score")
+        *keep, "scenario", _weighted(F.col("w_a"), F.col("w_t"), F.col("w_p")).alias("neighborhood_score")
     )
 
 
-def compare_scenarios(zones: DataFrame, scenarios: dict[str, tuple[float, float, float]] = settings.SCENARIOS) -> DataFrame:
-    """Zones by scenarios matrix of scores."""
-    long = score_scenarios(zones, scenarios)
-    return long.groupBy("name").pivot("scenario", list(scenarios)).agg(F.first("neighborhood_score"))
+def compare_scenarios(
+    zones: DataFrame, scenarios: dict[str, tuple[float, float, float]] = settings.SCENARIOS, keep: tuple[str, ...] = ("name",)
+) -> DataFrame:
+    """Zones by scenarios matrix of scores: a row per zone, whatever its name, and nothing is grouped."""
+    scaled = SuitabilityScorer().fit(zones).subscores(zones)
+    weights = {name: Weights(*w) for name, w in scenarios.items()}
+    cell = lambda w: _weighted(F.lit(w.affordability), F.lit(w.transit), F.lit(w.parks))
+    return scaled.select(*keep, *[cell(w).alias(name) for name, w in weights.items()])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from ..functions import geometry as G
 from ..functions.crs import with_crs
 from ..functions.numeric import half_even
 from ..functions.projection import project, unproject
-from ..operators import clean, features, models, proximity, recommend, report, scoring, stats, validate
+from ..operators import clean, estimators, features, models, proximity, recommend, report, scoring, stats, validate
 from ..operators.polygons import points_in_polygons, spatial_join
 from ..operators.workset import application_scratch, settle
 from ..settings import STORAGE_CRS
@@ -459,85 +460,90 @@ def loo_baseline(spark, sf):
 
 @query
 def loo_ridge(spark, sf):
-    """Predictions from the sums against models that are refitted without the row."""
+    """Every zone as ridge on the others predicts it."""
     table, names = models.features(_scored(spark, sf))
-    table = settle(table)
-    refitted = models.cross_validate(models.Ridge(), table, names).select("name", F.col("predicted").alias("_again"))
-    both = models.loo_ridge(table, names).join(refitted, "name")
-    return both.select("name", "actual", (F.abs(F.col("predicted") - F.col("_again")) < 1e-6).alias("as_refitted"))
+    found = models.loo_ridge(settle(table), names)
+    return found.select("name", "actual", half_even(F.col("predicted"), 4).alias("predicted"))
 
 
 @query
 def model_compare(spark, sf):
-    """All four models, every zone left out once; only the baseline's error has a closed form to compare with."""
-    found = models.compare_models(settle(_scored(spark, sf)))
-    plain = F.col("model") == "Baseline (mean)"
-    return found.select("model", "cv", F.when(plain, F.col("mae")).alias("baseline_mae"), (F.col("mae") >= 0).alias("measured"))
+    """Errors of all four models, every zone left out once. Tree ensembles have no form in SQL."""
+    return models.compare_models(settle(_scored(spark, sf)))
+
+
+@query
+def linear_compare(spark, sf):
+    """Errors of the two models that SQL can refit."""
+    return models.compare_models(settle(_scored(spark, sf)), candidates=models.LINEAR)
 
 
 @query
 def model_improvement(spark, sf):
-    gain = models.improvement(models.compare_models(settle(_scored(spark, sf))))
-    same = F.abs(F.col("baseline_mae") - F.col("best_mae") - F.col("improvement")) < 1e-6
-    return gain.select("baseline_mae", (same & (F.col("best_mae") <= F.col("baseline_mae"))).alias("consistent"))
+    return models.improvement(models.compare_models(settle(_scored(spark, sf)), candidates=models.LINEAR))
 
 
-def _judged(scores):
-    """What must hold of predicted scores, row by row: the range, and the rank as one more than the number of better ones."""
-    better = scores.select(F.col("ml_score").alias("_s")).groupBy("_s").count()
-    above = scores.select("name", "ml_score", "ml_rank").join(F.broadcast(better), F.col("_s") > F.col("ml_score"), "left")
-    return above.groupBy("name", "ml_score", "ml_rank").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("_above")).select(
-        "name", F.col("ml_score").between(0, 100).alias("in_range"), (F.col("ml_rank") == F.col("_above") + 1).alias("rank_fits")
-    )
+_FORETOLD = ("name", "neighborhood_score", "ml_score", "ml_rank")
 
 
 @query
 def ml_scores(spark, sf):
-    return _judged(models.ScoreModel().fit_transform(settle(_scored(spark, sf))))
+    """Scores and ranks that the forest predicts."""
+    return models.ScoreModel().fit_transform(settle(_scored(spark, sf))).select(*_FORETOLD)
 
 
 @query
 def ridge_scores(spark, sf):
-    """With an intercept the mean prediction is the mean score, up to rounding and clipping."""
-    found = settle(models.ScoreModel(models.Ridge()).fit_transform(settle(_scored(spark, sf))))
-    means = found.agg((F.abs(F.avg("ml_score") - F.avg("neighborhood_score")) < 0.1).alias("mean_kept"))
-    return _judged(found).crossJoin(F.broadcast(means))
+    return models.ScoreModel(models.Ridge()).fit_transform(settle(_scored(spark, sf))).select(*_FORETOLD)
 
 
 @query
 def importances(spark, sf):
-    """The eight largest: their number, order, and the sum of all."""
+    """The eight features that the forest used most."""
     every = models.ScoreModel().fit(settle(_scored(spark, sf))).importances(spark)
-    top = F.slice(F.sort_array(F.collect_list("importance"), asc=False), 1, 8)
-    ordered = F.forall(F.sequence(F.lit(0), F.size(top) - 2), lambda i: F.get(top, i) >= F.get(top, i + 1))
-    return every.agg(
-        F.count(F.lit(1)).alias("n_features"), F.size(top).cast("long").alias("n_top"), ordered.alias("ordered"), F.round(F.sum("importance"), 6).alias("total")
-    )
+    return every.orderBy(F.desc("importance"), "feature").limit(8)
 
 
 @query
 def predictive_flow(spark, sf):
-    """The whole bundle: predictions and recommendations per zone, beside the size of comparison and importances."""
-    bundle = models.run(settle(_scored(spark, sf)))
-    scores, advised = bundle["scores"], bundle["recommendations"].select(F.col("city").alias("name"), F.lit(True).alias("_advised"))
-    sizes = bundle["comparison"].agg(F.count(F.lit(1)).alias("n_models")).crossJoin(bundle["importances"].agg(F.count(F.lit(1)).alias("n_features")))
-    middle = scores.agg(F.median("ml_score").alias("_mid"))
-    rows = scores.join(advised, "name", "left").crossJoin(F.broadcast(middle)).crossJoin(F.broadcast(sizes))
-    fits = F.coalesce("_advised", F.lit(False)) == (F.col("ml_score") < F.col("_mid"))
-    rows = rows.select("name", "neighborhood_score", fits.alias("advice_fits"), "n_models", "n_features")
-    return rows.join(_judged(scores), "name")
+    """The whole bundle with ridge: predictions, the advice a zone gets, and the model that compared best."""
+    bundle = models.run(settle(_scored(spark, sf)), model=models.Ridge(), candidates=models.LINEAR)
+    advised = bundle["recommendations"].select(F.col("city").alias("name"), "recommendation")
+    best = bundle["comparison"].agg(F.min_by("model", "mae").alias("best_model"))
+    return bundle["scores"].join(advised, "name", "left").crossJoin(F.broadcast(best)).select(*_FORETOLD, "recommendation", "best_model")
+
+
+def _twins(spark, sf):
+    return with_crs(T.zones(spark, sf).unionByName(T.zones(spark, sf, shift=0.02)), STORAGE_CRS)
 
 
 @query
 def twin_zone_scores(spark, sf):
     """Two overlaid layers in which every name occurs twice, through features, scoring and prediction."""
-    twins = with_crs(T.zones(spark, sf).unionByName(T.zones(spark, sf, shift=0.02)), STORAGE_CRS)
-    scored = scored_zones(twins, T.transactions(spark, sf), T.transit_stops(spark, sf), T.parks(spark, sf), _names(spark, sf))
+    scored = scored_zones(_twins(spark, sf), T.transactions(spark, sf), T.transit_stops(spark, sf), T.parks(spark, sf), _names(spark, sf))
     found = models.ScoreModel(models.Ridge()).fit_transform(settle(scored))
     in_range = F.col("ml_score").between(0, 100).alias("in_range")
     return found.select("name", "dist_to_nearest_transit_m", "transit_stops_1km", "neighborhood_score", "rank", in_range)
 
 
+@query
+def twin_scenarios(spark, sf):
+    """The scenario matrix of zones that share their names: a row per zone."""
+    zones = enriched_zones(_twins(spark, sf), T.transactions(spark, sf), T.transit_stops(spark, sf), T.parks(spark, sf), _names(spark, sf))
+    kept = ("name", "dist_to_nearest_transit_m", "transit_stops_1km")
+    return scoring.compare_scenarios(zones, keep=kept).withColumnsRenamed(SCENARIO_COLUMNS)
+
+
+@query
+def pipeline_stages(spark, sf):
+    """Scorer and ridge as stages of one pipeline, saved and loaded before they score."""
+    stages = [estimators.SuitabilityStage(weights=[0.2, 0.6, 0.2]), estimators.PredictedScoreStage(kind="ridge")]
+    zones = _enriched(spark, sf)
+    path = _fresh(spark, ".model")
+    Pipeline(stages=stages).fit(zones).write().save(path)
+    return PipelineModel.load(path).transform(zones).select(*_FORETOLD, "rank")
+
+
 @query
 def recommendations(spark, sf):
     return recommend.recommend(_predicted(spark, sf))

@@ -15,7 +15,7 @@ SQL: dict[str, str] = {}
 
 
 def statement(parts: dict[str, str], final: str) -> str:
-    return "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in parts.items()) + f"\n{final}"
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({q})" for n, q in parts.items()) + f"\n{final}"
 
 
 def num(v: float) -> str:
@@ -569,21 +569,63 @@ SQL["loo_baseline"] = statement(
     {half_even('stddev_pop(abs(y - pred))', 2)} AS mae_std,
     {half_even('1 - sum((y - pred) * (y - pred)) / (var_pop(y) * count(y))', 3)} AS r2_pooled FROM p""",
 )
-# Models have no closed form in SQL: the queries state what must hold of them beside what SQL can compute.
-SQL["loo_ridge"] = statement(SCORED, "SELECT name, neighborhood_score AS actual, true AS as_refitted FROM scored")
-SQL["model_compare"] = statement(
-    _LEFT_OUT,
-    """SELECT model, 'loo' AS cv, CASE WHEN model LIKE 'Baseline%' THEN mae END AS baseline_mae, true AS measured
-    FROM baseline, (VALUES ('Baseline (mean)'), ('Ridge Regression'), ('Random Forest'), ('Gradient Boosting')) AS m (model)""",
-)
-SQL["model_improvement"] = statement(_LEFT_OUT, "SELECT mae AS baseline_mae, true AS consistent FROM baseline")
-SQL["ml_scores"] = statement(SCORED, "SELECT name, true AS in_range, true AS rank_fits FROM scored")
-SQL["ridge_scores"] = statement(SCORED, "SELECT name, true AS in_range, true AS rank_fits, true AS mean_kept FROM scored")
-SQL["importances"] = f"SELECT {len(_ML)} AS n_features, 8 AS n_top, true AS ordered, 1.0E0 AS total"
+# Ridge by its normal equations, for all zones together (fold '') and with every zone left out: standardise, sum up, and solve
+# the small system by eliminating one column after the other. Tree ensembles have no such form, so their queries have no SQL.
+_RIDGE = {
+    **SCORED,
+    "raw": "SELECT s.name, s.neighborhood_score AS y, " + ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in _ML.items())
+    + " FROM scored s JOIN centre c ON s.name = c.name",
+    "x": " UNION ALL ".join(
+        f"SELECT name, y, {j} AS j, coalesce({n}, (SELECT quantile_cont({n}, 0.5) FROM raw)) AS v FROM raw" for j, n in enumerate(_ML, 1)
+    ),
+    "fold": "SELECT name AS fold FROM raw UNION ALL SELECT ''",
+    "around": """SELECT fold, j, avg(v) AS m, CASE WHEN var_pop(v) > 1.0E-10 THEN stddev_pop(v) ELSE 1.0E0 END AS s, avg(y) AS ym
+      FROM fold JOIN x ON x.name <> fold GROUP BY fold, j""",
+    "z": "SELECT fold, name, j, (v - m) / s AS z, y - ym AS yc FROM around JOIN x USING (j) WHERE name <> fold",
+    "gram": """SELECT a.fold, a.j AS i, b.j, sum(a.z * b.z) + CASE WHEN a.j = b.j THEN 1.0E0 ELSE 0.0E0 END AS g
+      FROM z a JOIN z b ON a.fold = b.fold AND a.name = b.name GROUP BY a.fold, a.j, b.j
+      UNION ALL SELECT fold, j, 99, sum(z * yc) FROM z GROUP BY fold, j""",
+    "gramrow": "SELECT fold, i, list(g ORDER BY j) AS r FROM gram GROUP BY fold, i",
+    "system": "SELECT fold, list(r ORDER BY i) AS m FROM gramrow GROUP BY fold",
+    "solved(fold, k, m)": f"""SELECT fold, 1, m FROM system UNION ALL SELECT fold, k + 1, list_transform(m, lambda r, i:
+      CASE WHEN i = k THEN list_transform(r, lambda v: v / m[k][k]) ELSE list_transform(r, lambda v, j: v - r[k] * m[k][j] / m[k][k]) END)
+      FROM solved WHERE k <= {len(_ML)}""",
+    "beta": f"""SELECT q.fold, a.j, q.m[a.j][{len(_ML) + 1}] AS b, a.m AS mean, a.s, a.ym
+      FROM solved q JOIN around a ON a.fold = q.fold WHERE q.k = {len(_ML) + 1}""",
+    "foretold": """SELECT fold, name, y, ym + sum(b * (v - mean) / s) AS pred FROM beta JOIN x USING (j)
+      WHERE fold = '' OR fold = name GROUP BY fold, name, y, ym""",
+}
+_ERRORS = f"""{half_even('avg(abs(y - pred))', 2)} AS mae, {half_even('stddev_pop(abs(y - pred))', 2)} AS mae_std,
+  {half_even('1 - sum((y - pred) * (y - pred)) / (var_pop(y) * count(y))', 3)} AS r2_pooled"""
+_COMPARED = {
+    **_RIDGE,
+    "p": _LEFT_OUT["p"],
+    "compared": f"""SELECT 'Baseline (mean)' AS model, 'loo' AS cv, {_ERRORS} FROM p
+      UNION ALL SELECT 'Ridge Regression', 'loo', {_ERRORS} FROM foretold WHERE fold <> ''""",
+}
+_BY_RIDGE = {
+    **_RIDGE,
+    "predicted": f"""SELECT s.*, {half_even('least(greatest(pred, 0.0E0), 100.0E0)', 1)} AS ml_score
+      FROM scored s JOIN foretold f ON f.name = s.name AND f.fold = ''""",
+}
+_MARKS = """SELECT quantile_cont(ml_score, 0.5) AS mid, quantile_cont(avg_price, 0.75) AS p75,
+  quantile_cont(transit_stops_500m, 0.25) AS s25 FROM predicted"""
+_ADVICE = f"""CASE WHEN dist_to_nearest_transit_m > 1000 THEN '{recommend.FAR_TRANSIT}'
+  WHEN dist_to_nearest_park_m > 2000 THEN '{recommend.FAR_PARK}' WHEN avg_price > p75 THEN '{recommend.HIGH_PRICE}'
+  WHEN transit_stops_500m < s25 THEN '{recommend.FEW_STOPS}' ELSE '{recommend.OTHER}' END"""
+SQL["loo_ridge"] = statement(_RIDGE, f"SELECT name, y AS actual, {half_even('pred', 4)} AS predicted FROM foretold WHERE fold <> ''")
+SQL["linear_compare"] = statement(_COMPARED, "SELECT * FROM compared")
+SQL["model_improvement"] = statement(
+    _COMPARED,
+    f"""SELECT max(CASE WHEN model = 'Baseline (mean)' THEN mae END) AS baseline_mae, min(mae) AS best_mae,
+    {half_even("max(CASE WHEN model = 'Baseline (mean)' THEN mae END) - min(mae)", 2)} AS improvement FROM compared""",
+)
+_RANKED = 'CAST(rank() OVER (ORDER BY ml_score DESC) AS INTEGER) AS ml_rank'
+SQL["ridge_scores"] = statement(_BY_RIDGE, f"SELECT name, neighborhood_score, ml_score, {_RANKED} FROM predicted")
 SQL["predictive_flow"] = statement(
-    SCORED,
-    f"""SELECT name, neighborhood_score, true AS advice_fits, 4 AS n_models, {len(_ML)} AS n_features, true AS in_range,
-    true AS rank_fits FROM scored""",
+    {**_BY_RIDGE, **_COMPARED, "marks": _MARKS},
+    f"""SELECT name, neighborhood_score, ml_score, {_RANKED}, CASE WHEN ml_score < mid THEN {_ADVICE} END AS recommendation,
+    (SELECT arg_min(model, mae) FROM compared) AS best_model FROM predicted, marks""",
 )
 SQL["recommendations"] = statement(
     {
@@ -657,3 +699,8 @@ SQL["twin_zone_scores"] = statement(
     TWINS,
     """SELECT name, dist_to_nearest_transit_m, transit_stops_1km, neighborhood_score, "rank", true AS in_range FROM scored""",
 )
+_MATRIX = ", ".join(f"{weighted(*w)} AS {SCENARIO_COLUMNS[n]}" for n, w in SCENARIOS.items())
+SQL["twin_scenarios"] = statement(TWINS, f"SELECT name, dist_to_nearest_transit_m, transit_stops_1km, {_MATRIX} FROM subscores")
+SQL["pipeline_stages"] = statement(
+    {**_BY_RIDGE, **scored(0.2, 0.6, 0.2)}, f'SELECT name, neighborhood_score, ml_score, {_RANKED}, "rank" FROM predicted'
+)

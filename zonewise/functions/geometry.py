@@ -88,7 +88,8 @@ def _segments(ring: Column) -> Column:
     )
 
 
-def _ring_edges(ring: Column) -> Column:
+def ring_edges(ring: Column) -> Column:
+    """Segments of a ring, closed, without those of no length."""
     segments = let(_closed(ring), _segments)
     return F.filter(segments, lambda e: (e["x1"] != e["x2"]) | (e["y1"] != e["y2"]))
 
@@ -96,7 +97,7 @@ def _ring_edges(ring: Column) -> Column:
 def edges(geom: Column) -> Column:
     """All boundary segments with non-zero length, whatever ring they belong to."""
     rings = F.flatten(geom["parts"])
-    return F.flatten(F.transform(F.filter(rings, lambda r: F.size(r) > 1), _ring_edges))
+    return F.flatten(F.transform(F.filter(rings, lambda r: F.size(r) > 1), ring_edges))
 
 
 def _moments(ring: Column, ox: Column, oy: Column) -> Column:
@@ -112,7 +113,7 @@ def _moments(ring: Column, ox: Column, oy: Column) -> Column:
         )
 
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my"))
-    return F.aggregate(_ring_edges(ring), zero, step)
+    return F.aggregate(ring_edges(ring), zero, step)
 
 
 def _polygon_moments(geom: Column) -> Column:
@@ -221,7 +222,7 @@ def _straddle(a: Column, b: Column) -> tuple[Column, Column]:
     return da, db
 
 
-def _meet(a: Column, b: Column) -> Column:
+def meet(a: Column, b: Column) -> Column:
     """Do two segments share a point? Their boxes overlap and neither lies on one side of the other."""
     da, db = _straddle(a, b)
     return _overlap(a, b, "x") & _overlap(a, b, "y") & (da <= 0) & (db <= 0)
@@ -232,20 +233,20 @@ def _overlap(a: Column, b: Column, axis: str) -> Column:
     return (F.least(a[p], a[q]) <= F.greatest(b[p], b[q])) & (F.least(b[p], b[q]) <= F.greatest(a[p], a[q]))
 
 
-def _cross(a: Column, b: Column) -> Column:
+def cross(a: Column, b: Column) -> Column:
     """Do two segments cross in their interiors?"""
     da, db = _straddle(a, b)
     return (da < 0) & (db < 0)
 
 
-def _doubles_back(a: Column, b: Column) -> Column:
+def doubles_back(a: Column, b: Column) -> Column:
     ax, ay, bx, by = a["x2"] - a["x1"], a["y2"] - a["y1"], b["x2"] - b["x1"], b["y2"] - b["y1"]
     return (ax * by - ay * bx == 0) & (ax * bx + ay * by < 0)
 
 
 def edges_meet(first: Column, second: Column) -> Column:
     """Does any segment of one list touch any of the other?"""
-    return F.exists(first, lambda a: F.exists(second, lambda b: _meet(a, b)))
+    return F.exists(first, lambda a: F.exists(second, lambda b: meet(a, b)))
 
 
 def _ring_is_simple(segs: Column) -> Column:
@@ -257,7 +258,7 @@ def _ring_is_simple(segs: Column) -> Column:
         def clash(b, k):
             j = i + 1 + k
             neighbour = (k == 0) | ((i == 0) & (j == F.size(segs) - 1))
-            return F.when(neighbour, _doubles_back(a, b)).otherwise(_meet(a, b))
+            return F.when(neighbour, doubles_back(a, b)).otherwise(meet(a, b))
 
         return F.exists(F.transform(later, clash), lambda t: t)
 
@@ -273,9 +274,9 @@ def _well_nested(parts: Column) -> Column:
 
     def holes_fit(p):
         holes = F.slice(p, 2, F.size(p))
-        in_shell = let(_ring_edges(p[0]), lambda shell: F.forall(holes, lambda h: _vertex_inside(h, shell)))
+        in_shell = let(ring_edges(p[0]), lambda shell: F.forall(holes, lambda h: _vertex_inside(h, shell)))
         in_hole = F.exists(
-            F.transform(holes, lambda a, i: F.exists(F.transform(holes, lambda b, j: (i != j) & _vertex_inside(a, _ring_edges(b))), lambda t: t)),
+            F.transform(holes, lambda a, i: F.exists(F.transform(holes, lambda b, j: (i != j) & _vertex_inside(a, ring_edges(b))), lambda t: t)),
             lambda t: t,
         )
         return in_shell & ~in_hole
@@ -284,39 +285,51 @@ def _well_nested(parts: Column) -> Column:
         met = lambda p, i: F.exists(F.transform(lists, lambda e, j: (i != j) & _vertex_inside(p[0], e)), lambda t: t)
         return ~F.exists(F.transform(parts, met), lambda t: t)
 
-    every_edge = F.transform(parts, lambda p: F.flatten(F.transform(p, _ring_edges)))
+    every_edge = F.transform(parts, lambda p: F.flatten(F.transform(p, ring_edges)))
     return F.forall(parts, holes_fit) & F.when(F.size(parts) == 1, True).otherwise(let(every_edge, apart))
 
 
+def _finite(rings: Column) -> Column:
+    number = lambda v: v.isNotNull() & (F.abs(v) < float("inf"))  # NaN counts as larger than infinity
+    return F.forall(F.flatten(rings), lambda p: number(p["x"]) & number(p["y"]))
+
+
+def _solid(rings: Column) -> Column:
+    def three(r):
+        # a third vertex beside the first and one that differs from it; comparing all of them would be quadratic
+        others = F.filter(r, lambda v: v != r[0])
+        return let(others, lambda o: F.exists(o, lambda v: v != F.get(o, F.lit(0))))
+
+    return F.forall(rings, lambda r: three(r) & (_moments(r, r[0]["x"], r[0]["y"])["a"] != 0.0))
+
+
+def is_solid(geom: Column) -> Column:
+    """The part of ``is_valid`` that is linear in the vertices: finite, every ring around a non-zero area."""
+    rings = F.flatten(geom["parts"])
+    told = F.when(F.size(F.flatten(rings)) > 0, F.when(_finite(rings), _solid(rings)))
+    return F.coalesce(F.when(geom.isNotNull(), told), F.lit(False))
+
+
 def is_valid(geom: Column) -> Column:
     """Points: finite. Others: finite, every ring closed around a non-zero area without meeting itself, no two rings
     crossing, every hole inside its shell and outside the other holes, no part inside another.
 
-    Comparison of edge pairs is quadratic in the vertices of one geometry.
+    Comparison of edge pairs is quadratic in the vertices of one geometry; ``operators.validity`` judges long ones by joins.
     """
 
-    def finite(rings):
-        number = lambda v: v.isNotNull() & (F.abs(v) < float("inf"))  # NaN counts as larger than infinity
-        return F.forall(F.flatten(rings), lambda p: number(p["x"]) & number(p["y"]))
-
-    def solid(rings):
-        return F.forall(
-            rings, lambda r: (F.size(F.array_distinct(r)) >= 3) & (_moments(r, r[0]["x"], r[0]["y"])["a"] != 0.0)
-        )
-
     def apart(lists):
         later = lambda one, i: F.exists(
-            F.slice(lists, i + 2, F.size(lists)), lambda two: F.exists(one, lambda a: F.exists(two, lambda b: _cross(a, b)))
+            F.slice(lists, i + 2, F.size(lists)), lambda two: F.exists(one, lambda a: F.exists(two, lambda b: cross(a, b)))
         )
         return ~F.exists(F.transform(lists, later), lambda t: t)
 
     def sound(rings):
-        simple = let(F.transform(rings, _ring_edges), lambda lists: F.forall(lists, _ring_is_simple) & apart(lists))
+        simple = let(F.transform(rings, ring_edges), lambda lists: F.forall(lists, _ring_is_simple) & apart(lists))
         nested = F.when(F.size(rings) == 1, True).otherwise(_well_nested(geom["parts"]))
-        return F.when(F.size(F.flatten(rings)) > 0, F.when(finite(rings), F.when(solid(rings), F.when(simple, nested))))
+        return F.when(F.size(F.flatten(rings)) > 0, F.when(_finite(rings), F.when(_solid(rings), F.when(simple, nested))))
 
     def point(rings):
-        return (F.size(F.flatten(rings)) == 1) & finite(rings)
+        return (F.size(F.flatten(rings)) == 1) & _finite(rings)
 
     rings = F.flatten(geom["parts"])
     checked = F.when(geom["type"] == "Point", let(rings, point)).otherwise(let(rings, sound))

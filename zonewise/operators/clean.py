@@ -9,8 +9,9 @@ from .. import settings
 from ..functions import geometry as G
 from ..functions.crs import assert_wgs84, crs_of, with_crs
 from ..functions.numeric import half_even, to_number
+from . import validity
 from .stats import percentiles
-from .workset import BROADCAST_ROWS, settle
+from .workset import BROADCAST_ROWS, Scratch, settle
 
 
 def standardise_columns(df: DataFrame) -> DataFrame:
@@ -40,8 +41,14 @@ def clip_to_bbox(df: DataFrame, bbox=settings.BBOX, label: str = "layer") -> Dat
     return df.filter((lon > x0) & (lon < x1) & (lat > y0) & (lat < y1))
 
 
-def drop_invalid(df: DataFrame) -> DataFrame:
-    """Drop null, empty and invalid geometries; for points, null or NaN coordinates."""
+def drop_invalid(df: DataFrame, long_shapes: bool = False) -> DataFrame:
+    """Drop null, empty and invalid geometries; for points, null or NaN coordinates.
+
+    ``long_shapes`` judges geometries of very many vertices by joins instead of within their row (see ``validity``); it settles the layer.
+    """
+    if "geometry" in df.columns and long_shapes:
+        with Scratch(df.sparkSession) as scratch:
+            return scratch.keep(validity.judged(df, scratch).filter("_valid").drop("_valid"))
     if "geometry" in df.columns:
         return df.filter(G.is_valid(F.col("geometry")))
     return df.filter(

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.crs import with_crs
 from ..functions.numeric import half_even
 from ..functions.projection import project, unproject
-from ..operators import clean, estimators, features, models, proximity, recommend, report, scoring, stats, validate
+from ..operators import clean, estimators, features, models, proximity, recommend, report, scoring, stats, validate, validity
 from ..operators.polygons import points_in_polygons, spatial_join
-from ..operators.workset import application_scratch, settle
+from ..operators.workset import Scratch, application_scratch, settle
 from ..settings import STORAGE_CRS
 from ..sources import layers, open_data
 from . import tables as T
@@ -190,6 +191,22 @@ def polygon_validity(spark, sf):
     return T.footprints(spark, sf).select("park_id", G.is_valid(F.col("geometry")).alias("valid"))
 
 
+@query
+def long_ring_validity(spark, sf):
+    """One ring per nation around the study area, a vertex per order in turn; every third has two of its vertices exchanged."""
+    turn = Window.partitionBy("n_nationkey").orderBy("o_orderkey")
+    orders = T.run(spark, sf, "SELECT o_orderkey, n_nationkey FROM orders JOIN customer ON o_custkey=c_custkey JOIN nation ON c_nationkey=n_nationkey")
+    placed = orders.withColumns({"k": F.row_number().over(turn), "n": F.count(F.lit(1)).over(Window.partitionBy("n_nationkey"))})
+    order = F.when((F.col("n_nationkey") % 3 == 0) & F.col("k").isin(5, 15), 20 - F.col("k")).otherwise(F.col("k"))
+    angle = F.col("k") / F.col("n") * F.lit(2 * math.pi)
+    corner = F.struct("k2", F.struct((34.8 + 0.1 * F.cos("t")).alias("x"), (32.0 + 0.1 * F.sin("t")).alias("y")).alias("v"))
+    rings = placed.select("n_nationkey", order.alias("k2"), angle.alias("t")).groupBy("n_nationkey").agg(F.sort_array(F.collect_list(corner)).alias("c"))
+    shapes = rings.select("n_nationkey", G.polygon(F.transform("c", lambda c: c["v"])).alias("geometry"))
+    with Scratch(spark) as scratch:
+        found = validity.judged(shapes, scratch, long=100).select("n_nationkey", F.size(G.vertices(F.col("geometry"))).alias("n_vertices"), F.col("_valid").alias("valid"))
+        return scratch.keep(found)
+
+
 @query
 def polygon_bounds(spark, sf):
     b = G.bbox(F.col("geometry"))

@@ -704,3 +704,6 @@ SQL["twin_scenarios"] = statement(TWINS, f"SELECT name, dist_to_nearest_transit_
 SQL["pipeline_stages"] = statement(
     {**_BY_RIDGE, **scored(0.2, 0.6, 0.2)}, f'SELECT name, neighborhood_score, ml_score, {_RANKED}, "rank" FROM predicted'
 )
+# Corners in the order of their angle make a ring that does not meet itself; two exchanged far apart make it cross.
+SQL["long_ring_validity"] = """SELECT n_nationkey, CAST(count(*) AS INTEGER) AS n_vertices, n_nationkey % 3 <> 0 AS valid
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_nationkey"""

@@ -44,3 +44,12 @@ def test_scenario_matrix_keeps_zones_of_equal_name(spark):
     assert got.count() == 5 and got.filter("name = 'a'").distinct().count() == 2 and got.filter("name is null").count() == 1
     long = scoring.score_scenarios(df, keep=("name", "avg_price"))
     assert long.count() == 5 * (len(got.columns) - 1) and "avg_price" in long.columns
+
+
+def test_ranks_of_many_scores_equal_those_of_few(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("id", "CASE WHEN id % 11 > 0 THEN cast(hash(id) % 700 AS double) / 10 END AS s")
+    few = sorted(map(tuple, scoring.rank_by(df, "s").collect()))
+    monkeypatch.setattr(scoring, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, scoring.rank_by(df, "s").collect()), key=lambda r: r[0]) == few
+    values = sorted((r[1] for r in few if r[1] is not None), reverse=True)
+    assert all(r[2] == (None if r[1] is None else values.index(r[1]) + 1) for r in few)

@@ -4,6 +4,8 @@ A record's key hashes into one of a fixed number of slots, bytes are summed up p
 slots to shards. The table, not the hash, decides where a record lives: rebalancing writes a new version that moves
 whole slots. Everything is DataFrame expressions; only per-slot sums (``SLOTS`` rows) ever meet in one task.
 
+Rows of equal text under different keys are records of their own: the key alone decides, so copies may lie in different shards.
+
 Defined cases: a null text has size 1 and crc 0; rows without a key hash by their text; repeated rows stay separate rows
 with positions of their own; an empty table gives an empty result (and a map of empty slots).
 """

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.crs import assert_wgs84, require_columns
-from .workset import salted_join, settle
+from .workset import Scratch, salted_join, settle
 
+LONG = 500  # shapes of more vertices are compared with others edge by edge, never whole in a row
 CELL_POLYGONS = 64  # cells crossed by the borders of more polygons than this are divided further
 _SPLIT = 8  # a power of two, so that cell numbers of all levels nest exactly
 _MAX_SPLITS = 3
@@ -239,7 +240,7 @@ def _pieces_inside(edge_list: Column, area_edges: Column) -> Column:
     return F.exists(edge_list, enters)
 
 
-def _interior_point(edge_list: Column) -> Column:
+def interior_point(edge_list: Column) -> Column:
     """Some point strictly inside: midway between the first two crossings of a scan line off all vertices."""
     ys = F.array_sort(F.array_distinct(F.concat(edge_list["y1"], edge_list["y2"])))
 
@@ -262,7 +263,7 @@ def _polygon_within(inner: Column, outer: Column) -> Column:
         return G.let(
             G.edges(F.struct(F.lit("Polygon").alias("type"), F.array(part).alias("parts"))),
             lambda mine: ~_pieces_inside(G.edges(outer), mine)
-            & G.let(_interior_point(mine), lambda p: G.point_in_edges(G.edges(outer), p["x"], p["y"])),
+            & G.let(interior_point(mine), lambda p: G.point_in_edges(G.edges(outer), p["x"], p["y"])),
         )
 
     return F.forall(inner["parts"], part_within)
@@ -278,19 +279,27 @@ def _polygons_intersect(a: Column, b: Column) -> Column:
 
 
 def _box_cells(df: DataFrame, tag: str, size: float) -> DataFrame:
-    """Key and box only, a row per cell of the box: shapes stay behind until the pairs are known."""
+    """Key, box and length only, a row per cell of the box: shapes stay behind until the pairs are known."""
     b = G.bbox(F.col("geometry"))
-    out = df.withColumns({f"{tag}_{n}": c for n, c in b.items()}).drop("geometry")
+    out = df.withColumns({f"{tag}_{n}": c for n, c in b.items()}).withColumn(f"{tag}_long", _is_long()).drop("geometry")
     for a, lo, hi in (("cx", "xmin", "xmax"), ("cy", "ymin", "ymax")):
         out = out.withColumn(a, F.explode(F.sequence(_slot(F.col(f"{tag}_{lo}"), size), _slot(F.col(f"{tag}_{hi}"), size))))
     return out
 
 
+def _is_long() -> Column:
+    return F.size(G.vertices(F.col("geometry"))) > LONG
+
+
 def _polygon_pairs(left: DataFrame, right: DataFrame, predicate: str, left_key: str, right_key: str) -> DataFrame:
-    """Key pairs of polygons that satisfy the predicate."""
+    """Key pairs of polygons that satisfy the predicate.
+
+    Pairs of shapes of at most ``LONG`` vertices are compared in a row, all others by their edges (``overlay``).
+    """
     size = max(cell_size(left), cell_size(right))
-    a = _box_cells(left.select(F.col(left_key).alias("_lk"), "geometry"), "a", size)
-    b = _box_cells(right.select(F.col(right_key).alias("_rk"), "geometry"), "b", size)
+    left = left.select(F.col(left_key).alias("_lk"), "geometry")
+    right = right.select(F.col(right_key).alias("_rk"), "geometry")
+    a, b = _box_cells(left, "a", size), _box_cells(right, "b", size)
     touch = (
         (F.col("a_xmin") <= F.col("b_xmax"))
         & (F.col("b_xmin") <= F.col("a_xmax"))
@@ -302,15 +311,37 @@ def _polygon_pairs(left: DataFrame, right: DataFrame, predicate: str, left_key:
         _slot(F.greatest("a_ymin", "b_ymin"), size) == F.col("cy")
     )
     pairs = salted_join(a, b, ["cx", "cy"], "inner", F.col("_lk"), condition=touch & owner)
-    pairs = pairs.select("_lk", "_rk").join(left.select(F.col(left_key).alias("_lk"), F.col("geometry").alias("a_g")), "_lk")
-    pairs = pairs.join(right.select(F.col(right_key).alias("_rk"), F.col("geometry").alias("b_g")), "_rk")
+    pairs = settle(pairs.select("_lk", "_rk", (F.col("a_long") | F.col("b_long")).alias("_long")))
+    # a shape that many others touch is a hot key of the join with the shapes
+    short = pairs.filter("not _long").select("_lk", "_rk")
+    short = salted_join(short, left.filter(~_is_long()).withColumnRenamed("geometry", "a_g"), ["_lk"], "inner", F.col("_rk"))
+    short = salted_join(short, right.filter(~_is_long()).withColumnRenamed("geometry", "b_g"), ["_rk"], "inner", F.col("_lk"))
     ga, gb = F.col("a_g"), F.col("b_g")
     exact = {
         "intersects": lambda: _polygons_intersect(ga, gb),
         "within": lambda: _polygon_within(ga, gb),
         "contains": lambda: _polygon_within(gb, ga),
     }[predicate]()
-    return pairs.filter(exact).select("_lk", "_rk")
+    found = short.filter(exact).select("_lk", "_rk")
+    long = pairs.filter("_long").select("_lk", "_rk")
+    return found if long.isEmpty() else found.unionByName(_long_pairs(left, right, long, predicate))
+
+
+def _long_pairs(left: DataFrame, right: DataFrame, pairs: DataFrame, predicate: str) -> DataFrame:
+    from . import overlay  # which builds on the join of points with polygons above
+
+    with Scratch(left.sparkSession) as scratch:
+        left = scratch.settle(left.join(pairs.select("_lk").distinct(), "_lk", "left_semi"))
+        right = scratch.settle(right.join(pairs.select("_rk").distinct(), "_rk", "left_semi"))
+        if predicate == "intersects":
+            found = overlay.intersecting(left, right, scratch)
+        elif predicate == "within":
+            names = {"_ik": "_lk", "_ok": "_rk"}
+            found = overlay.lying_within(left.withColumnRenamed("_lk", "_ik"), right.withColumnRenamed("_rk", "_ok"), scratch).withColumnsRenamed(names)
+        else:
+            names = {"_ik": "_rk", "_ok": "_lk"}
+            found = overlay.lying_within(right.withColumnRenamed("_rk", "_ik"), left.withColumnRenamed("_lk", "_ok"), scratch).withColumnsRenamed(names)
+        return scratch.keep(pairs.join(found, ["_lk", "_rk"], "left_semi"))
 
 
 def spatial_join(

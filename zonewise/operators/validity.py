@@ -40,7 +40,7 @@ def _edges(shapes: DataFrame) -> DataFrame:
     )
 
 
-def _in_cells(edges: DataFrame) -> DataFrame:
+def in_cells(edges: DataFrame) -> DataFrame:
     """A row per edge and cell (cx, cy) of its grid (x0, y0, size) that it runs through, of the cells gx0..gx1 and gy0..gy1."""
     low, high = (lambda a: F.least(f"{a}1", f"{a}2")), (lambda a: F.greatest(f"{a}1", f"{a}2"))
     slot = lambda v, origin: F.floor((v - F.col(origin)) / F.col("size"))
@@ -70,7 +70,7 @@ def _clashes(edges: DataFrame, scratch: Scratch) -> DataFrame:
     open_edges, found = edges.join(box, "_g"), []
     cell = ["_g", "cx", "cy"]
     while True:
-        placed = scratch.settle(_in_cells(open_edges))
+        placed = scratch.settle(in_cells(open_edges))
         crowd = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("_in"))
         crowd = scratch.settle(crowd.filter((F.col("_in") > CROWDED)).select(*cell))
         last = placed.agg(F.coalesce(F.max(F.col("size") / F.greatest("least", F.lit(1e-300))), F.lit(0))).first()[0] <= _FAN

@@ -13,7 +13,7 @@ from ..functions import geometry as G
 from ..functions.crs import with_crs
 from ..functions.numeric import half_even
 from ..functions.projection import project, unproject
-from ..operators import clean, estimators, features, models, proximity, recommend, report, scoring, stats, validate, validity
+from ..operators import clean, estimators, features, models, overlay, proximity, recommend, report, scoring, stats, validate, validity
 from ..operators.polygons import points_in_polygons, spatial_join
 from ..operators.workset import Scratch, application_scratch, settle
 from ..settings import STORAGE_CRS
@@ -273,6 +273,24 @@ def polygons_within(spark, sf):
     return joined.select("district_id", "n_nationkey")
 
 
+@query
+def polygons_intersect_by_edges(spark, sf):
+    left = T.districts(spark, sf).select(F.col("district_id").alias("_lk"), "geometry")
+    right = T.zones(spark, sf).select(F.col("n_nationkey").alias("_rk"), "geometry")
+    with Scratch(spark) as scratch:
+        found = overlay.intersecting(left, right, scratch)
+        return scratch.keep(found.select(F.col("_lk").alias("district_id"), F.col("_rk").alias("n_nationkey")))
+
+
+@query
+def polygons_within_by_edges(spark, sf):
+    inner = T.districts(spark, sf).select(F.col("district_id").alias("_ik"), "geometry")
+    outer = T.zones(spark, sf).select(F.col("n_nationkey").alias("_ok"), "geometry")
+    with Scratch(spark) as scratch:
+        found = overlay.lying_within(inner, outer, scratch)
+        return scratch.keep(found.select(F.col("_ik").alias("district_id"), F.col("_ok").alias("n_nationkey")))
+
+
 @query
 def nearest_distance(spark, sf):
     found = proximity.nearest_distance(T.transactions(spark, sf), T.transit_stops(spark, sf), "dist_m", "txn_id")

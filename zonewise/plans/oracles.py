@@ -310,6 +310,7 @@ SQL["polygons_intersect"] = statement(
 SQL["polygons_within"] = statement(
     PAIRS, "SELECT district_id, n_nationkey FROM in_zone EXCEPT SELECT district_id, n_nationkey FROM crossing"
 )
+SQL["polygons_intersect_by_edges"], SQL["polygons_within_by_edges"] = SQL["polygons_intersect"], SQL["polygons_within"]
 STOPS_M = {**STOPS, **projected("stops_raw", "stops_all_m"), **projected("stops", "stops_m")}
 PARKS_M = {**PARKS, **projected("parks_raw", "parks_all_m"), **projected("parks", "parks_m")}
 DIST = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"

@@ -52,6 +52,35 @@ def test_chat_edge_cases(spark):
     assert chat.digest(chat.examples(df.limit(0))).count() == 0
 
 
+def test_digest_gathers_no_example_as_a_whole(spark):
+    """Of examples, whose size grows with the square of the turns, only what the digest needs is shuffled."""
+    rows = [(c, t, "assistant" if t % 2 else "user", f"{c} {t} x") for c in range(3) for t in range(40)]
+    made = chat.examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).localCheckpoint()
+    plan = chat.digest(made)._jdf.queryExecution().optimizedPlan().toString()
+    aggregate = next(line for line in plan.splitlines() if "Aggregate [conv_id" in line)
+    assert "formatted#" not in aggregate
+    assert sorted((r.conv_id, r.example) for r in made.filter("last").collect()) == [(0, 39), (1, 39), (2, 39)]
+
+
+def test_pieces_share_strings_for_the_tokenizer():
+    """Many pieces make one string, and come back as if each had been encoded alone."""
+    own = tokenfiles._Worker(vocabulary)
+    pieces = ["", "It's", "\u00a0", "a\u00a0", "\x01", "x\x01y", "\x02", "<|endoftext|>", "́e", "'s", "Σς", *[f"w{i}é,," for i in range(1000)]]
+    calls, encode = [], own.tokenizer.encode_batch_fast
+
+    class Counting:
+        def encode_batch_fast(self, strings, add_special_tokens):
+            calls.append(len(strings))
+            return encode(strings, add_special_tokens=add_special_tokens)
+
+    alone = [e.ids for e in encode(pieces, add_special_tokens=False)]
+    own.tokenizer = Counting()
+    at = own.places(pieces)
+    starts = [0, *own.ends.tolist()]
+    assert [own.ids[starts[k] : starts[k + 1]].tolist() for k in at] == alone
+    assert sum(calls) < 20
+
+
 def expected_tokens(rows):
     from tokenizers import Tokenizer
 

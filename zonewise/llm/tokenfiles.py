@@ -10,7 +10,7 @@ return reach the manifest: lost executors and repeated attempts leave at most un
 
 Defined cases: a null text is empty (the end id alone); null doc_ids come first; equal doc_ids are ordered by a hash of
 the text; an empty table gives a manifest without documents. Texts are cut at ASCII white space, which the tokenizer drops,
-and every different piece is encoded once per worker.
+and every different piece is encoded once per worker, many pieces in one string with a mark after each.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ LOT_BYTES, REMEMBERED = 16 << 20, 1_000_000
 MANIFEST = "part int, path string, n_docs long, n_tokens long, n_sequences long"
 
 _WHITE = "\t\n\v\f\r"
+# Pieces that a string for the tokenizer holds, and the character after each.
+_JOINED, _MARK = 200, "\x01"
 _workers: dict[str, _Worker] = {}
 
 
@@ -47,23 +49,45 @@ class _Worker:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        mark, other = (self.tokenizer.encode(c, add_special_tokens=False).ids for c in (_MARK, "\x02"))
+        # an id of its own, and not one that stands for anything unknown
+        self.mark = mark[0] if len(mark) == 1 and mark != other else None
         self.forget()
 
     def forget(self) -> None:
         self.place = {"": 0}
         self.ids, self.ends = np.zeros(0, self.type), np.zeros(1, np.int64)
 
+    def _encode(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the strings in a row, and how many each has."""
+        lots = (self.tokenizer.encode_batch_fast(strings[k : k + 20_000], add_special_tokens=False) for k in range(0, len(strings), 20_000))
+        ids = [e.ids for lot in lots for e in lot]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), self.type, sizes.sum()), sizes
+
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``_encode`` of pieces that do not hold the mark, which spares most of the cost of a call."""
+        if self.mark is None:
+            return self._encode(pieces)
+        after = f" {_MARK} "
+        ids, _ = self._encode([after.join(pieces[k : k + _JOINED]) + after for k in range(0, len(pieces), _JOINED)])
+        marks = np.flatnonzero(ids == self.mark)
+        if len(marks) != len(pieces):
+            return self._encode(pieces)
+        return np.delete(ids, marks), np.diff(marks, prepend=-1) - 1
+
     def places(self, pieces: list[str]) -> np.ndarray:
         if len(self.place) > REMEMBERED:
             self.forget()
         new = [w for w in pieces if w not in self.place]
         if new:
             first = len(self.place)
-            lots = (self.tokenizer.encode_batch_fast(new[k : k + 20_000], add_special_tokens=False) for k in range(0, len(new), 20_000))
-            ids = [e.ids for lot in lots for e in lot]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.ids = np.r_[self.ids, np.fromiter(chain.from_iterable(ids), self.type, sizes.sum())]
-            self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum(sizes)]
+            # like pieces follow each other: what the tokenizer looks up for them is in the processor's cache
+            plain, marked = sorted(w for w in new if _MARK not in w), [w for w in new if _MARK in w]
+            new = plain + marked
+            (ids, sizes), (more, n_more) = self._encode_pieces(plain), self._encode(marked)
+            self.ids = np.r_[self.ids, ids, more]
+            self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum(np.r_[sizes, n_more])]
             self.place.update(zip(new, range(first, first + len(new)), strict=True))
         return np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
 
@@ -89,7 +113,7 @@ def encode(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     place = own.places(coded.dictionary.to_pylist())
     index = place[coded.indices.to_numpy()]
     ends = own.ends[index]
-    n = ends - np.r_[0, own.ends][index]
+    n = np.diff(own.ends, prepend=0)[index]
     upto = np.cumsum(n)
     out = own.ids[np.repeat(ends - upto, n) + np.arange(upto[-1] if len(upto) else 0)]
     return out, np.r_[0, upto][split.offsets.to_numpy()[1:]]

@@ -39,7 +39,10 @@ def _unescape_role(role: Column) -> Column:
 
 
 def examples(turns: DataFrame) -> DataFrame:
-    """conv_id, example (position of its last turn), n_turns, trainable, formatted, loss_start, loss_end (code points)."""
+    """conv_id, example (position of its last turn), n_turns, trainable, formatted, loss_start, loss_end (code points), last.
+
+    ``last`` marks the example that holds the whole conversation.
+    """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     talks = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     parts = F.transform(
@@ -53,11 +56,12 @@ def examples(turns: DataFrame) -> DataFrame:
     last = F.size("parts") - 1
     chosen = F.filter(F.sequence(F.lit(0), last), lambda i: F.get("parts", i)["target"] | (i == last))
     every = talks.select("conv_id", parts.alias("parts")).withColumn("example", F.explode(chosen))
+    ends = F.col("example") == last
     own = F.get("parts", F.col("example"))
     context = F.array_join(
         F.transform(F.slice("parts", F.lit(1), F.col("example")), lambda p: F.concat(p["head"], p["body"], F.lit(END))), ""
     )
-    every = every.select("conv_id", "example", own.alias("own"), context.alias("context"))
+    every = every.select("conv_id", "example", own.alias("own"), context.alias("context"), ends.alias("last"))
     start = F.length("context") + F.length("own.head")
     whole = F.concat("context", "own.head", "own.body", F.lit(END))
     size = F.length("own.body")
@@ -69,6 +73,7 @@ def examples(turns: DataFrame) -> DataFrame:
         whole.alias("formatted"),
         start.alias("loss_start"),
         F.when(F.col("own.target"), start + size).otherwise(start).alias("loss_end"),
+        "last",
     )
 
 
@@ -89,26 +94,31 @@ def loss_text(formatted: Column, start: Column, end: Column) -> Column:
 
 
 def digest(written: DataFrame) -> DataFrame:
-    """What the written examples say about each conversation."""
+    """What the written examples say about each conversation.
+
+    The turns are read, and hashed, where the whole conversation was read: of the examples, whose size grows with the square
+    of the turns, only the replies under the loss mask are gathered.
+    """
+    turns = parse(F.col("formatted"))
+    text = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     told = written.select(
         "conv_id",
         "example",
         "trainable",
-        "formatted",
+        F.length("formatted").cast("long").alias("chars"),
+        F.when(F.col("last"), F.struct(F.size(turns).cast("long").alias("n"), F.sha2(text, 256).alias("sha"))).alias("whole"),
         loss_text(F.col("formatted"), F.col("loss_start"), F.col("loss_end")).alias("loss"),
     )
     per_talk = told.groupBy("conv_id").agg(
-        F.max_by("formatted", "example").alias("whole"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("example", "loss"))), lambda x: x["loss"]), "").alias("loss"),
-        F.sum(F.length("formatted")).cast("long").alias("formatted_chars"),
+        F.max("whole").alias("whole"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("trainable"), F.struct("example", "loss")))), lambda x: x["loss"]), "").alias("loss"),
+        F.sum("chars").alias("formatted_chars"),
         F.count_if("trainable").alias("n_examples"),
     )
-    turns = parse(F.col("whole"))
-    text = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return per_talk.select(
         "conv_id",
-        F.size(turns).cast("long").alias("n_turns"),
-        F.sha2(text, 256).alias("turns_sha256"),
+        F.col("whole.n").alias("n_turns"),
+        F.col("whole.sha").alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
         "formatted_chars",

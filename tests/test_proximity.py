@@ -80,6 +80,29 @@ def test_dense_nodes_are_divided(spark, monkeypatch):
     assert np.abs(got - d.min(axis=1)).max() < 0.051
 
 
+@pytest.mark.parametrize("rows", [(4_000, 200_000, 1_000_000), (50, 30, 70)])
+def test_tiles_count_as_brute_force_does(spark, monkeypatch, rows):
+    """Many targets are matched by tiles, which move every target to nine tiles at most, however dense they lie."""
+    monkeypatch.setattr(proximity, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(proximity, "_MEASURED", 100)
+    for name, n in zip(("TILE_ROWS", "TILE_SOURCES", "TILE_TARGETS"), rows, strict=True):
+        monkeypatch.setattr(proximity, name, n)
+    monkeypatch.setattr(proximity, "_reachable", None)
+    rng = np.random.default_rng(3)
+    s, t = layer(spark, clustered(rng, 300)), layer(spark, clustered(rng, 900))
+    t = with_crs(t.unionByName(t.filter("id % 3 = 0")), "EPSG:4326")  # copies count for themselves
+    d, n = brute(spark, s, t), s.count()
+    s = with_crs(s.unionByName(spark.createDataFrame([(n, None, None)], s.schema)), "EPSG:4326")
+    radii = {"near": 3.0, "mid": 500.0, "wide": 1000.0}
+    got = count_within(s, t, radii, "id").orderBy("id").toPandas()
+    for name, r in radii.items():
+        assert got[name].to_list() == [*(d < r).sum(axis=1), 0], name
+    a, b = metres(s.filter("lon is not null")), metres(t)
+    angle = np.arctan2(b[None, :, 1] - a[:, None, 1], b[None, :, 0] - a[:, None, 0]) % (np.pi / 32) - np.pi / 64
+    inscribed = count_within(s, t, {"c": 500.0}, "id", circle="polygon64", empty_as_one=True).orderBy("id").toPandas().c
+    assert inscribed.to_list() == [*np.maximum((d * np.cos(angle) < 500 * np.cos(np.pi / 64)).sum(axis=1), 1), 0]
+
+
 def test_empty_targets_and_null_sources(spark):
     s = layer(spark, [(34.8, 32.0)])
     s = s.unionByName(spark.createDataFrame([(7, None, None)], s.schema))

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from test_geometry import geom
 from test_polygons import shapes, star
@@ -38,3 +39,25 @@ def test_rings_of_many_vertices(spark):
     assert pairs(left, right, "intersects") == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 2)]
     assert pairs(left, right, "within") == [(0, 2), (1, 2), (2, 2)]
     assert pairs(left, right, "contains") == [(0, 1), (0, 2)]
+
+
+def test_cells_are_as_wide_as_edges(spark, tmp_path):
+    """Edges of equal length run through a few cells each, however many there are, and only of those the other layer reaches."""
+    edge = lambda *v: "struct(" + ", ".join(f"{e} as {c}" for e, c in zip(v, ("x1", "y1", "x2", "y2"), strict=True)) + ")"
+    made = f"explode(array({edge('x', 'y', 'x + 0.1', 'y')}, {edge('x + 0.1', 'y', 'x + 0.1', 'y + 0.1')}, {edge('x', 'y', 'x', 'y + 0.1')})) as e"
+    placed = spark.range(5000).selectExpr("id", "(id * 7919) % 10007 / 10007D as x", "(id * 104729) % 9973 / 9973D as y").selectExpr("id", made)
+    many = placed.select(F.col("id").alias("_lk"), "e.*")
+    few = spark.sql("select 0L as _rk, 0.5D as x1, 0.0D as y1, 0.5D as x2, 1.1D as y2")
+    placed_rows = []
+
+    class Counting(overlay.Scratch):
+        def settle(self, df, by=None):
+            settled = super().settle(df, by)
+            placed_rows.append(settled.count())
+            return settled
+
+    with Counting(spark) as scratch:
+        near = overlay.shared_cells(many, few, scratch).select("_lk", "a_x1", "a_x2").distinct().collect()
+    crossing = many.filter("least(x1, x2) <= 0.5 and greatest(x1, x2) >= 0.5").select("_lk", "x1", "x2").distinct().collect()
+    assert set(map(tuple, crossing)) <= set(map(tuple, near))
+    assert max(placed_rows) < 3 * 5000

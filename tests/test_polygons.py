@@ -132,3 +132,15 @@ def test_one_huge_polygon_beside_small_ones(spark):
     points = layer(spark, [(34.8, 32.0), (36.0, 33.0), (36.1, 33.0)])
     got = spatial_join(points, layers, "left", "within").groupBy("id").count().orderBy("id").collect()
     assert [r.id for r in got] == [0, 1, 2]
+
+
+def test_work_of_crowded_cells_is_dealt_by_tests(spark, monkeypatch):
+    """A task of the join gets so many tests at most on average, whatever the size of what it reads."""
+    monkeypatch.setattr(polygons, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(polygons, "TASK_TESTS", 500)
+    monkeypatch.setattr(polygons, "HOT_TESTS", 200)
+    stack = shapes(spark, [geom([[(34 + i / 1000, 32), (35, 32), (35, 33), (34, 33)]]) for i in range(40)])
+    points = with_crs(spark.range(300).selectExpr("id", "34.2D + id / 1000 as lon", "32.5D as lat").union(spark.sql("select 300L, 10D, 10D")), "EPSG:4326")
+    joined = points_in_polygons(points, stack, key="id")
+    assert joined.rdd.getNumPartitions() >= 300 * 40 / 500
+    assert joined.filter("neighborhood_polygon is null").count() == 1 and joined.count() == 300 * 40 + 1
